@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, mixing, simhash
+from corpusloom.llm import bpe, exact_dedup, gam, mixing, simhash
 from corpusloom.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(read(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op7_mixing, op9_simhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op4_bpe, op7_mixing, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
