@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, gam, hmm, license_scan, mixing, simhash
+from corpusloom.llm import bpe, exact_dedup, gam, hmm, license_scan, mixing, simhash, substring_dedup
 from corpusloom.llm.common import read
 
 
@@ -21,6 +21,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_bpe, op6_hmm_scoring, op7_mixing, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op4_bpe, op5_substring_dedup, op6_hmm_scoring, op7_mixing, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
