@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bodies, column, slices
 
-#: A worker forgets the words it has met when it holds so many; this bounds memory and changes no result.
-CACHE_WORDS = 300_000
+#: A worker holds so many of the words it has met, and of those it has met before; this bounds memory and changes no result.
+CACHE_WORDS = 250_000
 NO_MERGE = (1 << 62) - 1
-# White space as the vocabulary's normalizer sees it, and its rule for pieces.
-_SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+# The vocabulary's rule for pieces. No piece holds white space, so how the normalizer maps it is of no account.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -37,54 +36,62 @@ def byte_letters() -> list[str]:
     return out
 
 
-class PairTree:
-    """Symbols of one piece under merges. The tree's leaf i is rank << 32 | i for the pair that starts at symbol i."""
-
-    def __init__(self, symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]):
-        n = len(symbols)
-        self.symbols, self.ranks, self.made = symbols, ranks, {}
-        self.right, self.left = [*range(1, n), -1], list(range(-1, n - 1))
-        self.size = size = 1 << max(0, (n - 1).bit_length())
-        self.tree = tree = [NO_MERGE] * (2 * size)
-        for i in range(n - 1):
-            if found := ranks.get((symbols[i], symbols[i + 1])):
-                tree[size + i] = found[0] << 32 | i
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
-
-    def put(self, i: int, value: int) -> None:
-        tree, k = self.tree, self.size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
-    def pair(self, i: int) -> None:
-        j = self.right[i]
-        found = j >= 0 and self.ranks.get((self.symbols[i], self.symbols[j]))
-        self.put(i, found[0] << 32 | i if found else NO_MERGE)
-
-    def run(self) -> list[int]:
-        symbols, right, left, ranks = self.symbols, self.right, self.left, self.ranks
-        while (root := self.tree[1]) != NO_MERGE:
-            i = root & 0xFFFFFFFF
-            j = right[i]
-            symbols[i] = ranks[symbols[i], symbols[j]][1]
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            symbols[j] = -1
-            self.put(j, NO_MERGE)
-            self.pair(i)
-            if left[i] >= 0:
-                self.pair(left[i])
-        return [s for s in symbols if s >= 0]
+def merge_all(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """symbols after all merges. ranks: by left << 20 | right, the merge's rank << 32 and the symbol that it makes.
+
+    The tree's leaf i is rank << 32 | i for the pair that starts at symbol i, and each inner node is the smaller of
+    its two children; node 1 is the root.
+    """
+    n, get = len(symbols), ranks.get
+    size = 1 << (n - 1).bit_length()
+    tree, made = [NO_MERGE] * (2 * size), [0] * n
+    a = symbols[0]
+    for i in range(1, n):
+        b = symbols[i]
+        if found := get(a << 20 | b):
+            tree[size + i - 1] = found[0] | (i - 1)
+            made[i - 1] = found[1]
+        a = b
+    for k in range(size - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    right, left = [*range(1, n), -1], list(range(-1, n - 1))
+    while (root := tree[1]) != NO_MERGE:
+        i = root & 0xFFFFFFFF
+        j = right[i]
+        symbols[i], symbols[j] = made[i], -1
+        right[i] = after = right[j]
+        before = left[i]
+        leaves = [(j, NO_MERGE)]
+        if after >= 0:
+            left[after] = i
+            found = get(symbols[i] << 20 | symbols[after])
+        else:
+            found = None
+        if found:
+            made[i] = found[1]
+            leaves.append((i, found[0] | i))
+        else:
+            leaves.append((i, NO_MERGE))
+        if before >= 0:
+            found = get(symbols[before] << 20 | symbols[i])
+            if found:
+                made[before] = found[1]
+                leaves.append((before, found[0] | before))
+            elif tree[size + before] != NO_MERGE:
+                leaves.append((before, NO_MERGE))
+        for leaf, value in leaves:
+            k = size + leaf
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
+    return [s for s in symbols if s >= 0]
 
 
 class Vocabulary:
@@ -98,24 +105,23 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.ranks = {vocab[a] << 20 | vocab[b]: (rank << 32, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
         letters, end = byte_letters(), model["end_of_word_suffix"] or ""
         self.inner = [vocab.get(c, -1) for c in letters]
         self.last = [vocab.get(c + end, -1) for c in letters]
         names = sorted(map(regex.escape, self.added), key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(names) + ")") if names else None
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merged(self, piece: str) -> list[int]:
         raw = piece.encode()
         symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         symbols = [s for s in symbols if s >= 0]
-        return PairTree(symbols, self.ranks).run() if len(symbols) > 1 else symbols
+        return merge_all(symbols, self.ranks) if len(symbols) > 1 else symbols
 
     def met(self, piece: str) -> tuple[bytes, str]:
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        found = self.pack(self.merged(piece))
+        found = self.older.get(piece) or self.pack(self.merged(piece))
         if len(piece) <= 64:
             self.cache[piece] = found
         return found
@@ -130,12 +136,14 @@ class Vocabulary:
                 yield self.pack([self.added[part]])
             elif part:
                 # Lower-casing goes letter by letter, so the capital sigma has one lower form.
-                plain = _SPACES.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
+                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 for piece in _PIECES.findall(plain):
                     yield cache.get(piece) or met(piece)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian unsigned 32-bit integers, and the text that they decode to."""
+        if len(self.cache) >= CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
         parts = [p for p in self.parts(text) if p[0]]
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
