@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, gam, hmm, license_scan, mixing, simhash, substring_dedup
+from corpusloom.llm import bpe, embedding_dedup, exact_dedup, gam, hmm, license_scan, mixing, simhash, substring_dedup
 from corpusloom.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_components(read(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -47,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_bpe, op5_substring_dedup, op6_hmm_scoring, op7_mixing, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op3_embedding_dedup, op4_bpe, op5_substring_dedup, op6_hmm_scoring, op7_mixing, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
