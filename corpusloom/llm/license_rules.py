@@ -15,12 +15,23 @@ class Rule(NamedTuple):
     label: str
     priority: int
     keyword: str
+    words: tuple[str, ...]
     pattern: str
 
 
 #: What a rule's keyword looks like in a raw text, for one pass that finds the texts in which any rule can match.
 KEYWORDS = {"licen": "licen", "copyright": "copyright", "warrant": "warrant", "redistribut": "redistribut", "spdx": "spdx", "permission": "permission", "reserved": "reserved", " cc ": "cc[^a-z0-9]", "copyleft": "copyleft", "domain": "domain", "creativecommons": "creativecommons", "gnu": "gnu"}
 
+#: By the start of a label, words of which the name of such a licence has one at least.
+_NAME_WORDS = {
+    "mit": ("mit", "expat", "x11"), "apache": ("apache",), "gpl": ("gpl", "general"), "lgpl": ("lgpl", "general"), "agpl": ("agpl", "affero"),
+    "gfdl": ("gfdl", "documentation"), "bsd": ("bsd",), "0bsd": ("bsd",), "isc": ("isc",), "mpl": ("mpl", "mozilla"), "epl": ("epl", "eclipse"),
+    "cddl": ("cddl", "development"), "cpl": ("cpl", "common"), "eupl": ("eupl", "european"), "artistic": ("artistic",), "bsl": ("boost",), "busl": ("business",),
+    "zlib": ("zlib",), "libpng": ("libpng",), "unlicense": ("unlicense",), "wtfpl": ("wtfpl", "fuck"), "python": ("psf", "python"), "php": ("php",), "ruby": ("ruby",),
+    "postgresql": ("postgresql",), "openssl": ("openssl",), "ofl": ("font",), "ms": ("microsoft",), "ncsa": ("ncsa",), "upl": ("permissive",), "sspl": ("server",),
+    "elastic": ("elastic",), "odbl": ("odbl", "database"), "pddl": ("pddl", "dedication"), "odc": ("odc", "commons"), "openrail": ("rail", "responsible"),
+    "cecill": ("cecill",), "afl": ("academic",), "osl": ("software",), "proprietary": ("proprietary", "commercial", "user"),
+}
 # label, name, SPDX identifier in words, place in a link
 _LICENSES = (
     ("mit", r"(?:mit|expat|x11)", "mit", "opensource org licenses mit"),
@@ -127,20 +138,23 @@ _SENTENCES = (
 
 def _built():
     for label, name, spdx, link in _LICENSES:
-        yield label, 1, "spdx", f"spdx license identifier {spdx}(?: (?:only|or later))?"
-        yield label, 2, "licen", f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?"
-        yield label, 3, "licen", f"{name} licen[cs]e" if "license" not in name else name
+        words = _NAME_WORDS[label.split("-")[0]]
+        yield label, 1, "spdx", (spdx,), f"spdx license identifier {spdx}(?: (?:only|or later))?"
+        yield label, 2, "licen", words, f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?"
+        yield label, 3, "licen", words, f"{name} licen[cs]e" if "license" not in name else name
         if link:
-            yield label, 1, "licen", link
+            yield label, 1, "licen", (link,), link
     for label, letters, words in _COMMONS:
         for version in ("4 0", "3 0", "2 5", "2 0"):
             full = f"{label}-{version.replace(' ', '.')}"
-            yield full, 1, " cc ", f"(?:licen[cs]ed under (?:the )?)?cc {letters} {version}(?: international| unported| generic)?(?: licen[cs]e)?"
-            yield full, 2, "licen", f"creative commons {words} {version}(?: international| unported| generic)?(?: licen[cs]e)?"
-            yield full, 1, "creativecommons", f"creativecommons org licenses {letters} {version}"
-    yield from _SENTENCES
+            yield full, 1, " cc ", (f" {letters} {version} ",), f"(?:licen[cs]ed under (?:the )?)?cc {letters} {version}(?: international| unported| generic)?(?: licen[cs]e)?"
+            yield full, 2, "licen", ("creative commons",), f"creative commons {words} {version}(?: international| unported| generic)?(?: licen[cs]e)?"
+            yield full, 1, "creativecommons", (f"{letters} {version}",), f"creativecommons org licenses {letters} {version}"
+    for label, priority, keyword, pattern in _SENTENCES:
+        yield label, priority, keyword, (keyword,), pattern
 
 
+#: A rule is tried on texts that hold its keyword and one of its words.
 RULES = tuple(Rule(i, *r) for i, r in enumerate(sorted(dict.fromkeys(_built()), key=lambda r: r[1])))
 #: Base phrases and their labels; their places are counted apart and never suppressed.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))

@@ -7,6 +7,10 @@ one that lies within another of the same or a stronger priority is suppressed, t
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +18,15 @@ from corpusloom.llm.license_rules import BASE, BASE_SCORE, KEYWORDS, RULES, SCOR
 
 _UPPER = "".join(map(chr, range(65, 91)))
 _CUTS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[\p{Alnum}[^\p{ASCII}]]+"
 _OPEN, _SHUT = "\x01", "\x02"
 
 
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make of value, which is computed once, however often make uses it: a plain column would be copied into each use."""
+    return F.transform(F.array(value), make)[0]
+
+
 def spaced(text: Column) -> Column:
     """The text's words, A-Z in lower case, each with one space on either side."""
     plain = F.translate(text, _UPPER + _CUTS, _UPPER.lower() + " " * len(_CUTS))
@@ -26,25 +35,27 @@ def spaced(text: Column) -> Column:
 
 def _places(norm: Column, pattern: Column) -> Column:
     """(first, last) words, from 0, of all matches in order: marks go round them, and the marked words are counted off."""
-    marked = F.regexp_replace(norm, pattern, F.lit(f"{_OPEN}$0{_SHUT}"))
+    marked = F.regexp_replace(norm, pattern, F.lit(f" {_OPEN}$1{_SHUT}"))
     at = F.transform(F.split(F.trim(marked), " "), lambda w, i: F.struct(i.alias("i"), w.startswith(_OPEN).alias("first"), w.endswith(_SHUT).alias("last")))
-    pick = lambda which: F.transform(F.filter(at, lambda x: x[which]), lambda x: x["i"])
-    return F.arrays_zip(pick("first").alias("first"), pick("last").alias("last"))
+    pick = lambda of, which: F.transform(F.filter(of, lambda x: x[which]), lambda x: x["i"])
+    return _let(at, lambda a: F.arrays_zip(pick(a, "first").alias("first"), pick(a, "last").alias("last")))
 
 
 def detections(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with a column found: all matches of base phrases and rules as (base, first, last, priority, rule, label)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    may = text.rlike("(?i)" + "|".join(sorted({KEYWORDS[r.keyword] for r in rules} | {"licen"})))
-    whole = lambda p: f"(?<= )(?:{p})(?= )"
-    lit = lambda base, r: F.struct(F.lit(base).alias("base"), F.lit(r.priority).alias("priority"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(whole(r.pattern)).alias("pattern"))
-    table = F.array(*[lit(True, Rule(-1 - i, label, 9, "licen", phrase)) for i, (phrase, label) in enumerate(BASE)], *[lit(False, r) for r in rules])
-    norm = F.col("__norm")
-    hits = F.transform(
-        F.filter(table, lambda r: F.contains(norm, r["keyword"])),
+    # A lower-cased text holds every keyword that the text holds, whatever else lower() does beyond ASCII.
+    stems = sorted({r.keyword.strip() for r in rules} | {"licen"})
+    may = _let(F.lower(text), lambda low: reduce(operator.or_, [F.contains(low, F.lit(k)) for k in stems]))
+    may = may & text.rlike("(?i)" + "|".join(sorted({KEYWORDS[r.keyword] for r in rules} | {"licen"})))
+    whole = lambda p: f" ({p})(?= )"
+    lit = lambda base, r: F.struct(F.lit(base).alias("base"), F.lit(r.priority).alias("priority"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.array(*map(F.lit, r.words)).alias("words"), F.lit(whole(r.pattern)).alias("pattern"))
+    table = F.array(*[lit(True, Rule(-1 - i, label, 9, "licen", (phrase,), phrase)) for i, (phrase, label) in enumerate(BASE)], *[lit(False, r) for r in rules])
+    hits = lambda norm: F.transform(
+        F.filter(table, lambda r: F.contains(norm, r["keyword"]) & F.exists(r["words"], lambda w: F.contains(norm, w)) & F.regexp(norm, r["pattern"])),
         lambda r: F.transform(_places(norm, r["pattern"]), lambda x: F.struct(r["base"].alias("base"), x["first"].alias("first"), x["last"].alias("last"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"))),
     )
-    return docs.withColumn("__norm", F.when(may, spaced(text))).withColumn("found", F.when(norm.isNotNull(), F.flatten(hits))).drop("__norm")
+    return docs.withColumn("found", F.when(may, _let(spaced(text), lambda norm: F.flatten(hits(norm)))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

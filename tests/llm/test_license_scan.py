@@ -33,7 +33,7 @@ def brute(text):
             yield first, first + m[0].count(" ")
 
     base = [(first, label) for phrase, label in lr.BASE for first, _ in places(phrase)]
-    found = sorted((f, -e, r.priority, r.number, r) for r in lr.RULES if r.keyword in norm for f, e in places(r.pattern))
+    found = sorted((f, -e, r.priority, r.number, r) for r in lr.RULES if r.keyword in norm and any(w in norm for w in r.words) for f, e in places(r.pattern))
     stays = [x[4] for i, x in enumerate(found) if not any(y[1] <= x[1] and y[2] <= x[2] for y in found[:i])]
     labels = {label for _, label in base} | {r.label for r in stays}
     score = max([lr.SCORES[r.priority] for r in stays] + [lr.BASE_SCORE] * bool(base), default=0.0)
@@ -74,6 +74,14 @@ def test_rules_are_many_and_ordered():
         assert r.keyword in lr.KEYWORDS
 
 
+def test_words_miss_nothing():
+    """A rule's own words are in whatever its pattern matches, for patterns without classes, with optional parts left out."""
+    for r in lr.RULES:
+        plain = re.sub(r"\(\?:[^()]*\)\?|\[[^]]*\]\{?\d*\}?|.\?", "", re.sub(r"\[cs\]", "s", r.pattern))
+        if "(" not in plain:
+            assert any(w.strip() in plain for w in r.words) or r.words == (r.keyword,), r
+
+
 @pytest.mark.parametrize("text", TEXTS)
 def test_gate_misses_nothing(text):
     n = brute(text)
