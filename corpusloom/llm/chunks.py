@@ -42,7 +42,7 @@ def squeezed(*arrays: np.ndarray) -> bytes:
     parts = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        raw = zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+        raw = zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 3)
         parts.append(struct.pack("<2sQQ", a.dtype.str[1:].encode(), len(a), len(raw)) + raw)
     return b"".join(parts)
 
@@ -73,7 +73,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
             known = np.array([i is not None for i in ids])
             lengths = np.array([len(t) for t in texts], np.int64)
             head = squeezed(np.array([i or 0 for i in ids], np.int64), known.astype(np.uint8), lengths)
-            raw = struct.pack("<Q", len(head)) + head + zstandard.compress(b"\n".join([*texts, b""]), 3)
+            raw = struct.pack("<Q", len(head)) + head + zstandard.compress(b"\n".join([*texts, b""]), 6)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "size", "data"])
 
         for batch in batches:
@@ -107,6 +107,12 @@ def bucketed(number: int, buckets: int, hashes: np.ndarray, *values: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "chunk", "data"])
 
 
+def told(number: int, hashes: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """A row that comes back to the chunk as if it were an answer; hashes are sorted."""
+    raw = squeezed(steps(hashes), *values)
+    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([number], pa.int64()), pa.array([raw], pa.binary())], ["bucket", "chunk", "data"])
+
+
 Ask = Callable[[Chunk, list[list[np.ndarray]]], Iterator[pa.RecordBatch]]
 
 
@@ -122,7 +128,10 @@ def answered(questions: DataFrame, answer: Callable[[np.ndarray, np.ndarray, lis
         held: dict[int, list] = {}
         for batch in batches:
             for bucket, chunk, data in zip(*(column(batch, c).to_pylist() for c in ("bucket", "chunk", "data"))):
-                held.setdefault(bucket, []).append((chunk, data))
+                if bucket < 0:  # what a chunk tells itself
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["chunk", "data"])
+                else:
+                    held.setdefault(bucket, []).append((chunk, data))
         for bucket in sorted(held):
             parts = held.pop(bucket)
             blocks = [unsqueezed(data) for _, data in parts]
@@ -135,7 +144,8 @@ def answered(questions: DataFrame, answer: Callable[[np.ndarray, np.ndarray, lis
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "data"])
 
     # Buckets are numbered like partitions, so each partition gets one bucket.
-    return questions.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "chunk long, data binary")
+    own = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod("chunk", F.lit(buckets)).cast("int"))
+    return questions.repartitionById(buckets, own).mapInArrow(run, "chunk long, data binary")
 
 
 def finished(chunks: DataFrame, answers: DataFrame, finish: Ask, schema: str) -> DataFrame:

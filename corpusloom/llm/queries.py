@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, embedding_dedup, exact_dedup, gam, hmm, license_scan, mixing, simhash, substring_dedup
+from corpusloom.llm import bpe, embedding_dedup, exact_dedup, gam, hmm, license_scan, mixing, simhash, substring_dedup, suffix_dedup
 from corpusloom.llm.common import read
 
 
@@ -16,6 +16,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    spans = F.floor(F.size("edges") / 2).cast("long")
+    return found.select("doc_id", "n_bytes", "n_removed", spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_components(read(spark, sf_dir, "embeddings"))
 
@@ -51,7 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_embedding_dedup, op4_bpe, op5_substring_dedup, op6_hmm_scoring, op7_mixing, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_embedding_dedup, op4_bpe, op5_substring_dedup, op6_hmm_scoring, op7_mixing, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
