@@ -8,8 +8,9 @@ The vocabulary is read from a file in the format of the tokenizers library; the
 from __future__ import annotations
 
 import json
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bodies, column, slices
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are packed for little-endian machines with 32-bit integers")
 #: A worker holds so many of the words it has met, and of those it has met before; this bounds memory and changes no result.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 NO_MERGE = (1 << 62) - 1
 # The vocabulary's rule for pieces. No piece holds white space, so how the normalizer maps it is of no account.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -111,8 +114,8 @@ class Vocabulary:
         self.last = [vocab.get(c + end, -1) for c in letters]
         names = sorted(map(regex.escape, self.added), key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(names) + ")") if names else None
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -120,35 +123,35 @@ class Vocabulary:
         symbols = [s for s in symbols if s >= 0]
         return merge_all(symbols, self.ranks) if len(symbols) > 1 else symbols
 
-    def met(self, piece: str) -> tuple[bytes, str]:
-        found = self.older.get(piece) or self.pack(self.merged(piece))
+    def met(self, piece: str) -> bytes:
+        found = self.older.get(piece) or pack(self.merged(piece))
         if len(piece) <= 64:
             self.cache[piece] = found
         return found
 
-    def pack(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.tokens.__getitem__, ids))
-
-    def parts(self, text: str) -> Iterator[tuple[bytes, str]]:
-        cache, met = self.cache, self.met
+    def parts(self, text: str) -> Iterator[bytes]:
+        get, met = self.cache.get, self.met
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
             if k % 2:
-                yield self.pack([self.added[part]])
+                yield pack([self.added[part]])
             elif part:
                 # Lower-casing goes letter by letter, so the capital sigma has one lower form.
                 plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 for piece in _PIECES.findall(plain):
-                    yield cache.get(piece) or met(piece)
+                    yield get(piece) or met(piece)
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian unsigned 32-bit integers, and the text that they decode to."""
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if len(self.cache) >= CACHE_WORDS:
             self.cache, self.older = {}, self.cache
-        parts = [p for p in self.parts(text) if p[0]]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return b"".join(self.parts(text))
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
+        return " ".join(map(self.tokens.__getitem__, array("I", ids)))
+
+
+def pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 _LOADED: dict[int, Vocabulary] = {}
@@ -176,10 +179,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in slices(batches):
             ids, decoded = [], []
             for body in column(batch, "body"):
-                a, b = vocab.encode(body.as_py().decode("utf-8", "replace"))
-                ids.append(a)
-                # An id's letters stand for bytes; what they spell is sent on as it is.
-                decoded.append(b)
+                ids.append(vocab.encode(body.as_py().decode("utf-8", "replace")))
+                decoded.append(vocab.decode(ids[-1]))
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), n, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -20,10 +20,11 @@ def pair():
 
 def same(pair, text):
     vocab, library = pair
-    ids, decoded = vocab.encode(text)
+    ids = vocab.encode(text)
+    decoded = vocab.decode(ids)
     want = library.encode(text, add_special_tokens=False).ids
     assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
-    assert decoded == library.decode(want, skip_special_tokens=False) == vocab.decode(ids)
+    assert decoded == library.decode(want, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("text", ["", " ", "it's we'll I'D don't", "ΣΑΣ ΟΔΟΣ İstanbul ǅ ẞ", "a<|endoftext|>b <|startoftext|><|endoftext|>", "é ẛ̣ ﬁ", "x" * 5000, "!?" * 3000, "\x1c\x1d a\x85b\xa0c　d​e", "12345 ½ ٣ 中文字 한글", "\U0001f600\U0001f469‍\U0001f4bb tab\there", "<|endoftext|", "a\x00b"])
