@@ -61,9 +61,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10}
-
-
+    """The others are beyond SQL: tests hold them against brute-force versions."""
+    return {"op2_suffix_dedup": OP2, "op3_embedding_dedup": OP3, "op5_substring_dedup": OP5, "op10_exact_dedup": OP10}
+
+
+# Two hexadecimal digits a byte.
+OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d)),
+first AS (SELECT k, min((doc_id, i)) AS f FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win JOIN first USING (k) WHERE f <> (doc_id, i)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS p FROM hit),
+bytes AS (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS b, gone.p IS NOT NULL AS off
+          FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM d) LEFT JOIN gone USING (doc_id, p)),
+edge AS (SELECT *, off AND NOT coalesce(lag(off) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM bytes),
+own AS (SELECT doc_id, count(*) FILTER (off) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY p) FILTER (NOT off) AS kept FROM edge GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN own USING (doc_id)
+"""
+OP3 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+first AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (k) WHERE f < doc_id),
+words AS (SELECT doc_id, p, w[p] AS word, gone.p IS NOT NULL AS off FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) LEFT JOIN gone USING (doc_id, p)),
+own AS (SELECT doc_id, count(*) FILTER (off) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT off) AS kept FROM words GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN own USING (doc_id)
+"""
 OP10 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
