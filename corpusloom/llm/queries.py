@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, embedding_dedup, exact_dedup, gam, hmm, license_scan, mixing, simhash, substring_dedup, suffix_dedup
 from corpusloom.llm.common import read
+from corpusloom.llm.license_rules import BASE, BASE_SCORE, RULES, SCORES, Rule
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others are beyond SQL: tests hold them against brute-force versions."""
-    return {"op2_suffix_dedup": OP2, "op3_embedding_dedup": OP3, "op5_substring_dedup": OP5, "op10_exact_dedup": OP10}
+    return {"op1_license_scan": op1_sql(), "op2_suffix_dedup": OP2, "op3_embedding_dedup": OP3, "op5_substring_dedup": OP5, "op10_exact_dedup": OP10}
+
+
+def op1_sql() -> str:
+    """Words are two spaces apart, so that matches, with a space on either side each, never share one."""
+    wide = lambda p: p.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    row = lambda base, r: f"({base}, {r.priority}, {r.number}, {text(r.label)}, {text(r.keyword)}, [{', '.join(map(text, r.words))}], {text(f' ({wide(r.pattern)}) ')})"
+    rules = [row("true", Rule(-1 - i, label, 9, "licen", (phrase,), phrase)) for i, (phrase, label) in enumerate(BASE)] + [row("false", r) for r in RULES]
+    worth = " ".join(f"WHEN priority = {p} THEN {s}" for p, s in SCORES.items())
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""
+WITH rules(base, priority, rule, label, keyword, own, pattern) AS (VALUES {", ".join(rules)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS plain, '  ' || array_to_string(w, '  ') || '  ' AS wide FROM d),
+marked AS (SELECT doc_id, base, priority, rule, label, string_split(substring(regexp_replace(wide, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g'), 3), '  ') AS m
+           FROM n JOIN rules ON contains(plain, keyword) AND len(list_filter(own, lambda o: contains(plain, o))) > 0 AND regexp_matches(wide, pattern)),
+places AS (SELECT doc_id, base, priority, rule, label, unnest(list_filter(range(len(m)), lambda i: starts_with(m[i + 1], chr(1)))) AS first,
+           unnest(list_filter(range(len(m)), lambda i: ends_with(m[i + 1], chr(2)))) AS last FROM marked),
+found AS (SELECT *, base OR NOT EXISTS (FROM places q WHERE q.doc_id = p.doc_id AND q.first <= p.first AND q.last >= p.last AND q.priority <= p.priority AND NOT q.base
+          AND (q.first, -q.last, q.priority, q.rule) < (p.first, -p.last, p.priority, p.rule)) AS stays FROM places p),
+own AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stays) AS labels,
+        max(CASE WHEN base THEN {BASE_SCORE} {worth} END) FILTER (stays) AS score, count(*) FILTER (stays) AS n_detections FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score, coalesce(n_detections, 0) AS n_detections FROM d LEFT JOIN own USING (doc_id)
+"""
 
 
 # Two hexadecimal digits a byte.
