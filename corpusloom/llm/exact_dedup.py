@@ -105,8 +105,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result; other columns of docs don't matter.
     """
     rows = settled(identities(docs, id_col, text_col, block_bytes))
-    groups = rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size"))
-    # A group of copies may hold a third of all rows: a plain sort-merge join, which adaptive execution splits.
+    # A group of copies may hold a third of all rows. Settled groups make this a plain join of two shuffles, which
+    # adaptive execution splits where a group is large; an aggregation inside the join would forbid that.
+    groups = settled(rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size")))
     joined = rows.join(groups, ["level", "name"])
     return joined.select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("top.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
