@@ -1,32 +1,20 @@
-"""What several corpus operators share: reading texts, the shared folder, task-side Arrow helpers."""
+"""What several corpus operators share: reading texts, cutting lineage, task-side Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import shared_dir
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session without the setting gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
-    return jsc.getCheckpointDir().get()
-
-
 def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut: rows come from the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
