@@ -18,3 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
     return jsc.getCheckpointDir().get()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session has written and needs no more, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
