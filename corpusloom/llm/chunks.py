@@ -142,6 +142,8 @@ def answered(questions: DataFrame, answer: Callable[[np.ndarray, np.ndarray, lis
             for chunk, own, *more in answer(hashes, senders, values):
                 raw = squeezed(steps(own), *more)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([raw], pa.binary())], ["chunk", "data"])
+            del hashes, senders, values
+            pa.default_memory_pool().release_unused()
 
     # Buckets are numbered like partitions, so each partition gets one bucket.
     own = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod("chunk", F.lit(buckets)).cast("int"))
@@ -165,6 +167,8 @@ def _met(chunks: DataFrame, answers: DataFrame | None, make: Ask, schema: str) -
                     got.append([np.cumsum(blocks[0], dtype=np.uint64), *blocks[1:]])
                 else:
                     yield from make(unpacked(number, data.as_py()), got)
+                    got = []
+                    pa.default_memory_pool().release_unused()
 
     texts = chunks.select("chunk", F.lit(True).alias("text"), "data")
     if answers is None:

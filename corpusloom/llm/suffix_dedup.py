@@ -16,8 +16,8 @@ match at each place, and a window whose match is 100 bytes or longer starts earl
 the bits of a context's number in order of age: each level of bits is one index, in which the contexts that differ in
 higher bits have alphabets of their own.
 
-An anchor that is frequent in a single chunk may be in any share of the corpus, mostly with other bytes round it each
-time. Its windows are therefore first asked about one by one, by their own hashes, and only those that occur more than
+An anchor that is frequent in a chunk, or in many chunks, may be in any share of the corpus, mostly with other bytes
+round it each time. Its windows are therefore first asked about one by one, by their own hashes, and only those that occur more than
 once become contexts; what is left of them is the same text in place after place.
 """
 
@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm.chunks import Chunk, answered, asked, finished, found, joined, mixed, pack, squeezed, steps, told
 from corpusloom.llm.common import partitions, settled
 
-LENGTH, ANCHOR, HOT = 100, 24, 16
+LENGTH, ANCHOR = 100, 24
+#: An anchor is frequent if a chunk has it so often, or so many chunks have it; others have fewer than HOT * WIDE contexts.
+HOT, WIDE = 32, 64
 #: Bytes of contexts that one index takes at once.
 INDEX_BYTES = 1 << 20
-_PIECE = 2 << 20
+#: Bytes of a chunk, and of it at once; smaller than what chunks.py takes, for there are more numbers to a byte here.
+CHUNK_BYTES, _PIECE, _PLACE_BITS = 2 << 20, 1 << 15, 20
 _TABLE = np.random.default_rng(29).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x5851F42D4C957F2D
 
@@ -63,53 +66,48 @@ def strings(data: np.ndarray, n: int) -> np.ndarray:
     return mixed(out[: len(data) - n + 1])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """For the window at each place of data: its anchor's hash, and the anchor's place; worked through in pieces."""
-    hashes, places, span = [], [], length - anchor + 1
+def anchored(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of data by their anchors, in pieces: the number of windows so far and runs of windows with one anchor.
+
+    A run is where it starts, its anchor's hash and its anchor's place. The upper bits of a hash and its place in the
+    piece make one number, whose minimum over a window is its anchor; a piece's end may cut a run in two.
+    """
+    span, low = length - anchor + 1, np.uint64((1 << _PLACE_BITS) - 1)
     for at in range(0, max(0, len(data) - length + 1), _PIECE):
         h = strings(data[at : at + _PIECE + length - 1], anchor)
-        best, size = h, 1
-        where = np.arange(len(h))
+        best, size = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
         while size < span:
             step = min(size, span - size)
-            left, right = best[: len(best) - step], best[step:]
-            first = left <= right
-            where = np.where(first, where[: len(left)], where[step:])
-            best = np.where(first, left, right)
+            best = np.minimum(best[: len(best) - step], best[step:])
             size += step
-        hashes.append(best)
-        places.append(where + at)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(places)
+        start = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+        place = (best[start] & low).astype(np.int64)
+        # Minima are small numbers; mixed once more, they spread over all buckets.
+        yield at + len(best), start + at, mixed(h[place]), place + at
 
 
 class Anchored:
-    """A chunk's windows that lie within one text, and their anchors: runs of windows with one anchor in one place."""
+    """A chunk's windows that lie within one text, in runs of windows with one anchor in one place."""
 
     def __init__(self, chunk: Chunk):
-        self.chunk = chunk
-        self.hash, self.place = anchors(chunk.data)
-        n = len(self.hash)
-        last = np.zeros(n + 1, np.int64)  # of windows, whether they lie within a text
-        begin, end = chunk.starts[:-1], np.minimum(np.maximum(chunk.starts[1:] - LENGTH, chunk.starts[:-1]), n)
-        begin = np.minimum(begin, n)
-        np.add.at(last, begin, 1)
-        np.add.at(last, end, -1)
-        self.whole = np.cumsum(last[:-1]) > 0
-        new = np.ones(n, bool)
-        new[1:] = (self.place[1:] != self.place[:-1]) | (self.whole[1:] != self.whole[:-1]) | np.isin(np.arange(1, n), chunk.starts, assume_unique=True) if n > 1 else True
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, n))
-        good = self.whole[start] if n else np.zeros(0, bool)
-        self.start, self.size = start[good], size[good]
-        self.anchor = self.hash[self.start]
-        self.doc = np.searchsorted(chunk.starts, self.start, "right") - 1
-
-    def often(self) -> np.ndarray:
-        """Of each run, how many runs of the chunk have its anchor."""
-        _, back, count = np.unique(self.anchor, return_inverse=True, return_counts=True)
-        return count[back]
+        runs = list(anchored(chunk.data))
+        if not runs:
+            self.start = self.size = self.place = self.doc = np.zeros(0, np.int64)
+            self.anchor = np.zeros(0, np.uint64)
+            return
+        n = runs[-1][0]
+        start, anchor, place = (np.concatenate(x) for x in list(zip(*runs))[1:])
+        same = np.concatenate([[False], place[1:] == place[:-1]])
+        start, anchor, place = start[~same], anchor[~same], place[~same]
+        # A run also ends where a text starts, and where the last whole window of a text has started.
+        begin, end = chunk.starts[:-1], chunk.starts[1:] - LENGTH
+        cut = np.concatenate([begin[begin < n], end[(end > begin) & (end < n)]])
+        at = np.union1d(start, cut)
+        of = np.searchsorted(start, at, "right") - 1
+        doc = np.searchsorted(chunk.starts, at, "right") - 1
+        whole = at < end[doc]
+        self.start, self.size = at[whole], np.diff(np.append(at, n))[whole]
+        self.anchor, self.place, self.doc = anchor[of][whole], place[of][whole], doc[whole]
 
 
 def _bits(total: int) -> int:
@@ -135,33 +133,29 @@ def _parted(number: int, buckets: int, hashes: np.ndarray, values: list[np.ndarr
     )
 
 
-def _distinct(h: np.ndarray, several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct h, how often each occurs, and whether several holds for any of its places."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    flag = np.logical_or.reduceat(several[order], new) if several is not None and len(new) else np.zeros(len(new), bool)
-    return s[new], np.diff(np.append(new, len(s))), flag
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct h, sorted, and how often each occurs."""
+    return np.unique(h, return_counts=True)
 
 
 def _ask_anchors(bits: int, buckets: int):
     def ask(chunk: Chunk, _: list) -> Iterator[pa.RecordBatch]:
         runs = Anchored(chunk)
-        h, count, _flag = _distinct(runs.anchor & _keep(bits))
+        h, count = _distinct(runs.anchor & _keep(bits))
         yield _parted(chunk.number, buckets, h, [((count > 1) + 2 * (count >= HOT)).astype(np.uint8)])
 
     return ask
 
 
 def _answer_repeats(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """To each chunk its hashes that occur more than once anywhere, and whether any chunk calls them frequent."""
+    """To each chunk its hashes that occur more than once anywhere, and whether they are frequent."""
     order = np.lexsort((senders, hashes))
     h, s, v = hashes[order], senders[order], values[0][order]
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(new, len(h)))
     flags = np.bitwise_or.reduceat(v, new)
     good = np.repeat((size > 1) | (flags & 1 > 0), size)
-    yield from _by_sender(s[good], h[good], np.repeat(flags >> 1, size)[good])
+    yield from _by_sender(s[good], h[good], np.repeat((flags >> 1) | (size >= WIDE), size)[good].astype(np.uint8))
 
 
 def _by_sender(senders: np.ndarray, hashes: np.ndarray, *values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -179,27 +173,34 @@ def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _ask_frequent(bits: int, buckets: int):
-    """Windows at frequent anchors, by their own hashes; after it, a chunk's answers still hold what it knew of anchors."""
+    """Windows at frequent anchors, by their own hashes."""
 
     def ask(chunk: Chunk, answers: list) -> Iterator[pa.RecordBatch]:
         known, frequent = joined(answers, 2)
+        if not frequent.any():
+            return
         runs = Anchored(chunk)
-        at, there = found(known, runs.anchor & _keep(bits))
-        hot = there & (frequent[at] > 0) if len(known) else there
-        windows, _ = _spread(runs.start[hot], runs.size[hot])
-        h, count, _flag = _distinct(_window_hashes(chunk.data, windows))
+        hot = found(known[frequent > 0], runs.anchor & _keep(bits))[1]
+        parts = [_distinct(h & _keep(bits)) for _, _, h in _windows(chunk.data, runs.start[hot], runs.size[hot])]
+        h, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        count = np.bincount(back, np.concatenate([p[1] for p in parts]), len(h))
         yield _parted(chunk.number, buckets, h, [(count > 1).astype(np.uint8)])
 
     return ask
 
 
-def _window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(at), np.uint64)
-    for s in range(0, max(0, len(data) - LENGTH + 1), _PIECE):
-        inside = (at >= s) & (at < s + _PIECE)
-        if inside.any():
-            out[inside] = strings(data[s : s + _PIECE + LENGTH - 1], LENGTH)[at[inside] - s]
-    return out
+def _windows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of runs in order, some hundred thousand at once: their places, their runs, their own hashes."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _PIECE)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
+        at, which = _spread(start[a:b], size[a:b])
+        out = [np.zeros(0, np.uint64)]
+        for s in range(int(at[0]), int(at[-1]) + 1, _PIECE) if len(at) else ():
+            e = min(s + _PIECE, int(at[-1]) + 1)
+            i, j = np.searchsorted(at, [s, e])
+            if i < j:
+                out.append(strings(data[s : e + LENGTH - 1], LENGTH)[at[i:j] - s])
+        yield at, which + a, np.concatenate(out)
 
 
 class Contexts:
@@ -211,19 +212,21 @@ class Contexts:
         repeated = joined([a for a in answers if len(a) == 3], 3)[0]
         runs = Anchored(chunk)
         at, there = found(known, runs.anchor & _keep(bits))
-        hot = (there & (frequent[at] > 0) if len(known) else there)[there]
-        windows, which = _spread(runs.start[there], runs.size[there])
-        good = ~hot[which]
+        hot = there & (frequent[at] > 0) if len(known) else there
+        which = np.flatnonzero(there & ~hot)
+        start, size = runs.start[which], runs.size[which]
         if hot.any():
-            good[~good] = found(repeated, _window_hashes(chunk.data, windows[~good]))[1]
-        # What is left of a run may fall apart; each part is a context of its own.
-        windows, which = windows[good], which[good]
-        new = np.ones(len(windows), bool)
-        new[1:] = (which[1:] != which[:-1]) | (windows[1:] != windows[:-1] + 1)
-        first = np.flatnonzero(new)
-        start, size = windows[first], np.diff(np.append(first, len(windows)))
-        which = which[first]
-        anchor, place, doc = runs.anchor[there][which], runs.place[start], runs.doc[there][which]
+            # What is left of a run may fall apart; each part is a context of its own.
+            runs_of = np.flatnonzero(hot)
+            for windows, of, h in _windows(chunk.data, runs.start[hot], runs.size[hot]):
+                good = found(repeated, h & _keep(bits))[1]
+                windows, of = windows[good], runs_of[of[good]]
+                new = np.ones(len(windows), bool)
+                new[1:] = (of[1:] != of[:-1]) | (windows[1:] != windows[:-1] + 1)
+                first = np.flatnonzero(new)
+                start, size = np.concatenate([start, windows[first]]), np.concatenate([size, np.diff(np.append(first, len(windows)))])
+                which = np.concatenate([which, of[first]])
+        anchor, place, doc = runs.anchor[which], runs.place[which], runs.doc[which]
         ids = np.where(chunk.known, chunk.ids, np.iinfo(np.int64).max)[doc]
         order = np.lexsort((start, ids, anchor))
         seen: dict[tuple[int, int, bytes], None] = {}
@@ -263,7 +266,7 @@ class RunIndex:
     def __init__(self, text: np.ndarray):
         n = self.n = len(text)
         self.symbols, rank = np.unique(text, return_inverse=True)
-        codes, self.rank = rank, [rank]
+        codes, self.rank = rank, [rank.astype(np.int32)]
         while int(rank.max()) < n - 1:
             step = 1 << (len(self.rank) - 1)
             key = rank * np.int64(n) + np.roll(rank, -step)
@@ -271,7 +274,7 @@ class RunIndex:
             key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-            self.rank.append(rank)
+            self.rank.append(rank.astype(np.int32))
         suffixes = np.empty(n, np.int64)
         suffixes[rank] = np.arange(n)
         before = codes[suffixes - 1]
@@ -286,15 +289,14 @@ class RunIndex:
         self.maps_to[order] = np.cumsum(size) - size
         self.by_symbol, self.keys = order, self.symbol[order] * np.int64(runs) + order
 
-    def agree(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """How many symbols are the same from the places i and j on."""
-        i, j, out = i.copy(), j.copy(), np.zeros(len(i), np.int64)
-        for k in range(len(self.rank) - 1, -1, -1):
-            same = self.rank[k][i] == self.rank[k][j]
-            step = same.astype(np.int64) << k
-            out += step
-            i, j = (i + step) % self.n, (j + step) % self.n
-        return out
+    def agree(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+        """How many symbols are the same from the places i and j on, exact up to most."""
+        # Steps from unlike places never pass a text's end, whose symbol occurs once; those from one place stop at the last.
+        start, last = i, self.n - 1
+        for k in range(min(len(self.rank), most.bit_length()) - 1, -1, -1):
+            step = (self.rank[k][i] == self.rank[k][j]).astype(np.int64) << k
+            i, j = np.minimum(i + step, last), np.minimum(j + step, last)
+        return i - start
 
     def statistics(self, patterns: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each place of the patterns, which are streamed side by side, the length of the longest match from there on."""
@@ -316,9 +318,10 @@ class RunIndex:
                 below, above = np.minimum(at, runs - 1), np.maximum(at - 1, 0)
                 u, d = self.by_symbol[above], self.by_symbol[below]
                 has_u, has_d = (at > 0) & (self.symbol[u] == want), (at < runs) & (self.symbol[d] == want)
-                here = place[miss]
-                lu = np.where(has_u, np.minimum(match[miss], self.agree(here, self.place_end[u])), -1)
-                ld = np.where(has_d, np.minimum(match[miss], self.agree(here, self.place_start[d])), -1)
+                here, had = place[miss], match[miss]
+                most = int(had.max())
+                lu = np.where(has_u, np.minimum(had, self.agree(here, self.place_end[u], most)), -1)
+                ld = np.where(has_d, np.minimum(had, self.agree(here, self.place_start[d], most)), -1)
                 up = lu >= ld
                 run[miss] = np.where(up, u, d)
                 row[miss] = np.where(up, self.end[u], self.start[d])
@@ -425,8 +428,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the remaining bytes, edges where removed runs start and end, by turns. A null text has no bytes. Null ids come
     after all others; of rows with the same id, any one may count as the earlier. An empty table gives an empty result.
     """
-    chunks = pack(docs, id_col, text_col)
-    buckets = partitions(chunks)
+    chunks = pack(docs, id_col, text_col, CHUNK_BYTES)
+    buckets = 2 * partitions(chunks)
     bits = _bits(chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     repeats = settled(answered(asked(chunks, _ask_anchors(bits, buckets), buckets), _answer_repeats, buckets))
     frequent = answered(asked(chunks, _ask_frequent(bits, buckets), buckets, repeats), _answer_windows, buckets)
