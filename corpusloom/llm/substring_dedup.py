@@ -24,7 +24,7 @@ from corpusloom.llm.common import partitions
 
 WINDOW, BLOCK = 13, 7
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = 4 << 20
+_PIECE = 1 << 17
 _TABLE = np.random.default_rng(13).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
