@@ -4,8 +4,8 @@ A source's target over its size is the number of times that each of its document
 times for sure, and once more with the fraction that is left. Which documents are taken once more is a balanced
 sample: in the flight phase, the fractions of three documents at a time move along a direction that changes neither
 the number of documents nor the number of words, until one of them reaches 0 or 1. Each chunk of a source flies on its own
-and leaves two documents at most undecided; these fly on together, level by level, until one chunk a source is left
-and the landing decides two documents.
+and leaves two documents at most undecided; these fly on together, level by level, until one chunk a source is left.
+The landing then decides a handful of documents by looking at all outcomes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import settled
 
 WEIGHTS, MAX_TIMES, CHUNK = (5, 2, 1), 3, 512
+#: Documents of a source that the landing decides together with what the flight has left, two at most.
+LANDING = 12
 _EPS = 1e-9
 
 
@@ -92,12 +94,15 @@ def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The one of the few outcomes for the undecided whose words come nearest to what was due; ties take fewer."""
-    p, left = p.copy(), [k for k in range(len(p)) if _EPS < p[k] < 1 - _EPS]
-    due = sum(p[k] * size[k] for k in left)
-    best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[k] for j, k in enumerate(left) if m >> j & 1) - due), m.bit_count(), m))
-    for j, k in enumerate(left):
-        p[k] = best >> j & 1
+    """The outcome for the few undecided whose words come nearest to what is due, with documents within one of what is due."""
+    p, left = p.copy(), np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    if not len(left):
+        return p
+    taken = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(bool)
+    count = np.abs(taken.sum(axis=1) - p[left].sum())
+    off = np.abs(taken @ size[left] - (p[left] * size[left]).sum())
+    off[count > 1] = np.inf
+    p[left] = taken[np.lexsort((count, off))[0]]
     return p
 
 
@@ -105,8 +110,14 @@ def _flight(chunk: pd.DataFrame) -> pd.DataFrame:
     chunk = chunk.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
     p, size = chunk["p"].to_numpy(float), chunk["size"].to_numpy(np.int64)
     draw = ((chunk["h"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / 2.0**53
-    p = fly(p, size, draw)
-    return chunk.assign(p=land(p, size) if chunk["chunks"].iloc[0] == 1 else p)
+    if chunk["chunks"].iloc[0] > 1:
+        return chunk.assign(p=fly(p, size, draw))
+    # The source's last chunk: a few documents, from small to large, wait for the landing.
+    order = np.argsort(size, kind="stable")
+    wait = order[np.unique(np.linspace(0, len(order) - 1, LANDING).astype(int))]
+    others = np.setdiff1d(np.arange(len(p)), wait)
+    p[others] = fly(p[others], size[others], draw[others])
+    return chunk.assign(p=land(p, size))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_times: int = MAX_TIMES, chunk: int = CHUNK) -> DataFrame:

@@ -55,7 +55,7 @@ def test_many_small_documents_come_near(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got, want, taken = check(docs, chunk=64)
     for s in want:
-        assert abs(taken[s] - want[s]) <= 40
+        assert abs(taken[s] - want[s]) <= 2
         n = sum(r.source == s for r in got)
         times = want[s] / next(r.source_size for r in got if r.source == s)
         assert abs(sum(r.copies for r in got if r.source == s) - n * times) < 3
