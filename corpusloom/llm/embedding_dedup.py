@@ -218,7 +218,7 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = settled(nodes.select("label", "embedding", "node", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
     of_row = good.select("uid", "vec_id", "label", same.alias("embedding")).join(nodes, ["label", "embedding"])
     of_row = settled(of_row.select("uid", "vec_id", "n_links", "root"))
-    named = of_row.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    named = settled(of_row.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     linked = of_row.join(named, "root").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -12,7 +12,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) to (node, root): each node that has an edge, and the smallest node that it is linked with.
 
     Nothing but two numbers a round reaches the driver. A hub with very many neighbours is met by partial
-    aggregation and by sort-merge joins, which adaptive execution splits.
+    aggregation, whose result is settled, so that the joins are of plain shuffles, which adaptive execution splits.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     now, before = settled(edges.filter("a <> b").select(hi, lo).distinct()), None
@@ -22,10 +22,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = state
         # Large star: a node's larger neighbours move to the smallest of its neighbourhood.
-        least = now.select(F.col("lo").alias("u"), "lo").unionByName(now.select(F.col("hi").alias("u"), "lo")).groupBy("u").agg(F.min("lo").alias("m"))
-        big = now.join(least, now["lo"] == least["u"]).select("hi", F.col("m").alias("lo")).distinct()
+        least = settled(now.select(F.col("lo").alias("u"), "lo").unionByName(now.select(F.col("hi").alias("u"), "lo")).groupBy("u").agg(F.min("lo").alias("m")))
+        big = settled(now.join(least, now["lo"] == least["u"]).select("hi", F.col("m").alias("lo")).distinct())
         # Small star: a node and its smaller neighbours move to the smallest of these.
-        small = big.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
+        small = settled(big.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m")))
         met = big.join(small, big["hi"] == small["v"])
         pairs = met.select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         now = settled(pairs.select("e.hi", "e.lo").filter("hi <> lo").distinct())

@@ -197,8 +197,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_links(distinct.select("fp"), max_bits))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = settled(member)
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = member.join(named, "root").select("fp", "component_id")
+    # Settled, so that a join with a large component is one of two plain shuffles, which adaptive execution can split.
+    named = settled(member.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_fp = settled(member.join(named, "root").select("fp", "component_id"))
     out = rows.join(by_fp, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
