@@ -10,7 +10,6 @@ The landing then decides a handful of documents by looking at all outcomes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
