@@ -178,7 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = bodies(docs, id_col=id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     met = rows.join(F.broadcast(few), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "body")
-    got = _featured(met.limit(2 * sample)).toPandas()
+    # Features are made where the texts are; only these go to the one task of the limit.
+    got = _featured(met).limit(2 * sample).toPandas()
     if not len(got):
         return Gam()
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy(float)
