@@ -5,17 +5,17 @@ their last bytes, and within such a class a word has its smoothed share of the c
 probability is that of its symbols under the model, times the shares of its class words.
 
 Counts of words cover all training texts. The words that may be broadcast are bounded in number and length
-(TABLE_WORDS, WORD_BYTES); the counts of all other words reach the texts through a join. The model starts from a
-bounded sample of training texts, and then every round of Baum-Welch reads all training texts: each partition sends
-its expected counts of transitions and emissions, which are summed by key. Training looks at stretches of STRETCH
-tokens as sequences of their own; scoring runs the scaled forward recursion over whole texts.
+(TABLE_WORDS, WORD_BYTES); the counts of all other words reach the texts through a join. The model starts from seeded
+noise. All training texts are turned into symbols once, and every round of Baum-Welch reads all of them, whole: each
+partition sends its expected counts of transitions and emissions, which are summed by key. Training looks at stretches
+of STRETCH tokens as sequences of their own; scoring runs the scaled forward recursion over whole texts.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bodies, column, settled, slices
 
-STATES, ROUNDS, STRETCH, SYMBOL_WORDS, CLASSES = 8, 2, 256, 8192, 1024
+STATES, ROUNDS, STRETCH, SYMBOL_WORDS, CLASSES = 8, 14, 256, 8192, 1024
 TABLE_WORDS, WORD_BYTES = 262_144, 64
-#: Texts that the start of the training may look at, and the rounds that it takes on them.
-START_TEXTS, START_ROUNDS = 1500, 12
+#: Tokens of training texts that a task holds at once, or one text if it has more.
+_HELD_TOKENS = 500_000
 _FLUSH = 400_000
 
 
@@ -191,15 +191,15 @@ def _prior(table: Table) -> np.ndarray:
     return n / n.sum()
 
 
-def start(table: Table, texts: list[np.ndarray]) -> Model:
-    """A first model: noise round the symbols' shares, then rounds over a few texts."""
+def start(table: Table, texts: Sequence[np.ndarray] = (), rounds: int = ROUNDS) -> Model:
+    """A first model: noise round the symbols' shares; then rounds over texts in memory, if any are given."""
     rng, prior = np.random.default_rng(7), _prior(table)
     emit = prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), STATES))
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
     model = Model(np.full(STATES, 1 / STATES), np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
     if texts:
         symbols, lengths, fresh = stretches(texts)
-        for _ in range(START_ROUNDS):
+        for _ in range(rounds):
             model = updated(*expected(model, symbols, lengths, fresh), prior)
     return model
 
@@ -230,32 +230,37 @@ def tabulate(counts: DataFrame, texts: int, table_words: int = TABLE_WORDS, symb
 
 
 def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, **sizes: int) -> tuple[Table, Model]:
-    """Table and model of training (body, order); the start takes the START_TEXTS rows of least order."""
+    """Table and model of training (body): noise, then all rounds over all training texts."""
     spark = training.sparkSession
     table = tabulate(counts, training.count(), **sizes)
     known = spark.sparkContext.broadcast(replace(table))
     table.ready()
-    # Hashes below the share that three times the texts wanted would have: a filter before the sort keeps its input small.
-    share = min(1.0, 3 * START_TEXTS / max(1, table.texts))
-    near = training.filter(F.col("order") <= F.lit(int(-(2**63) + share * (2**64 - 2**12)))) if share < 1 else training
-    few = [bytes(r["body"]) for r in near.select("order", F.substring("body", 1, 1 << 14).alias("body")).orderBy("order").limit(START_TEXTS).collect()]
-    model = start(table, [table.symbols(table.places(tokens(b))) for b in few])
+    model = start(table)
     k, size, prior = STATES, table.end + 1, _prior(table)
+    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value.ready()
+        for batch in slices(batches):
+            found = [words.symbols(words.places(tokens(b.as_py()))).astype(kind).tobytes() for b in column(batch, "body")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["symbols"])
+
+    coded = settled(training.select("body").mapInArrow(code, "symbols binary"))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, now = known.value.ready(), sent.value  # noqa: B023
+            now = sent.value  # noqa: B023
             sums = [np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((size, k))]
-            for batch in slices(batches, 3 << 20):
-                texts = [words.symbols(words.places(tokens(b.as_py()))) for b in column(batch, "body")]
+            for batch in slices(batches, _HELD_TOKENS * kind.itemsize, "symbols"):
+                texts = [np.frombuffer(b.as_buffer(), kind) for b in column(batch, "symbols")]
                 for s, x in zip(sums, expected(now, *stretches(texts))):
                     s += x
             flat = np.concatenate([s.ravel() for s in sums])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["i", "v"])
 
-        got = training.select("body").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        got = coded.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
         flat = np.zeros(2 * k + k * k + size * k)
         flat[got["i"].to_numpy()] = got["v"].to_numpy()
         cut = np.split(flat, [k, 2 * k, 2 * k + k * k])
@@ -272,7 +277,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     """
     rows = bodies(docs, id_col=id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.withColumn("held_out", held_out("doc_id"))
-    training = rows.filter(~F.col("held_out")).select("body", F.xxhash64("doc_id", F.octet_length("body")).alias("order"))
+    training = rows.filter(~F.col("held_out")).select("body")
     counts = settled(word_counts(training))
     table, model = learn(training, counts, rounds, **sizes)
     spark = docs.sparkSession

@@ -98,3 +98,17 @@ def test_better_than_base_on_held_out(spark):
 
 def test_empty(spark):
     assert hmm.score(empty(spark)).collect() == []
+
+
+def test_rounds_read_whole_training_texts(spark):
+    """The model is that of noise and rounds over all whole texts, also beyond 16 KiB of a text."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdef"), n)) for n in (5, 300, 40)] + [" ".join(["a b"] * 5000 + ["y z"] * 5000), ""]
+    training = spark.createDataFrame([(t.encode(), i) for i, t in enumerate(texts)], "body binary, order long").repartition(3)
+    table, model = hmm.learn(training, hmm.word_counts(training), rounds=3)
+    want, prior = hmm.start(table, []), hmm._prior(table)
+    whole = hmm.stretches([table.symbols(table.places(hmm.tokens(t.encode()))) for t in texts])
+    for _ in range(3):
+        want = hmm.updated(*hmm.expected(want, *whole), prior)
+    for part in ("first", "again", "move", "emit"):
+        assert getattr(model, part) == pytest.approx(getattr(want, part), abs=1e-9)
