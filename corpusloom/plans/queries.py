@@ -346,7 +346,7 @@ def router_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def figure_refs(spark: SparkSession, sf: str) -> DataFrame:
-    marked = F.concat(F.lit("See [Figure: img_"), F.col("doc_id").cast("string"), F.lit(".png] and [Figure: "), F.col("source"), F.lit("] but not [Figure: ] "), F.substring("text", 1, 50))
+    marked = F.concat(F.lit("See [Figure: img_"), F.col("doc_id").cast("string"), F.lit(".png] and [Figure: "), F.col("source"), F.lit("] but not [Figure: ] "), F.coalesce("text", F.lit("")))
     return load(spark, sf, "documents").select("doc_id", F.array_join(text.figure_refs(marked), ",").alias("figures"))
 
 

@@ -19,3 +19,10 @@ def test_matches_sql(spark, con, name):
 
 def test_all_but_one_have_sql():
     assert set(QUERIES) - set(ORACLES) == {"chunk_documents"}
+
+
+def test_figures_of_whole_texts(spark, tmp_path):
+    docs = [(1, "x" * 400 + " [Figure: late.png]", "web"), (2, None, "web"), (3, "[Figure: a] [Figure: " + "b" * 60 + "]", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.figures for r in QUERIES["figure_refs"](spark, str(tmp_path)).collect()}
+    assert got == {1: "img_1.png,web,late.png", 2: "img_2.png,web", 3: "img_3.png,web,a," + "b" * 60}
