@@ -7,6 +7,7 @@ Lower priority numbers are stronger.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -19,9 +20,6 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: What a rule's keyword looks like in a raw text, for one pass that finds the texts in which any rule can match.
-KEYWORDS = {"licen": "licen", "copyright": "copyright", "warrant": "warrant", "redistribut": "redistribut", "spdx": "spdx", "permission": "permission", "reserved": "reserved", " cc ": "cc[^a-z0-9]", "copyleft": "copyleft", "domain": "domain", "creativecommons": "creativecommons", "gnu": "gnu"}
-
 #: By the start of a label, words of which the name of such a licence has one at least.
 _NAME_WORDS = {
     "mit": ("mit", "expat", "x11"), "apache": ("apache",), "gpl": ("gpl", "general"), "lgpl": ("lgpl", "general"), "agpl": ("agpl", "affero"),
@@ -136,26 +134,40 @@ _SENTENCES = (
 )
 
 
+def _forms(name: str, words: tuple[str, ...]):
+    """(keyword, pattern) for a name that holds "license" in part only: for each alternative, what all its matches hold."""
+    choice = re.search(r"\(\?:([^()]*\|[^()]*)\)(?!\?)", name)
+    for one in choice[1].split("|") if choice else [re.sub(r"\(\?:[^()]*\)\?", "", name)]:
+        keyword = "licen" if "license" in one else next(w for w in words if w in one)
+        yield keyword, name[: choice.start()] + one + name[choice.end() :] if choice else name
+
+
 def _built():
     for label, name, spdx, link in _LICENSES:
         words = _NAME_WORDS[label.split("-")[0]]
         yield label, 1, "spdx", (spdx,), f"spdx license identifier {spdx}(?: (?:only|or later))?"
-        yield label, 2, "licen", words, f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?"
-        yield label, 3, "licen", words, f"{name} licen[cs]e" if "license" not in name else name
+        yield label, 2, " under ", words, f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?"
+        if "license" not in name:
+            yield label, 3, "licen", words, f"{name} licen[cs]e"
+        else:
+            for keyword, pattern in _forms(name, words):
+                yield label, 3, keyword, words, pattern
         if link:
-            yield label, 1, "licen", (link,), link
+            yield label, 1, "licen" if "licen" in link else link, (link,), link
     for label, letters, words in _COMMONS:
         for version in ("4 0", "3 0", "2 5", "2 0"):
             full = f"{label}-{version.replace(' ', '.')}"
             yield full, 1, " cc ", (f" {letters} {version} ",), f"(?:licen[cs]ed under (?:the )?)?cc {letters} {version}(?: international| unported| generic)?(?: licen[cs]e)?"
-            yield full, 2, "licen", ("creative commons",), f"creative commons {words} {version}(?: international| unported| generic)?(?: licen[cs]e)?"
+            yield full, 2, "creative commons", ("creative commons",), f"creative commons {words} {version}(?: international| unported| generic)?(?: licen[cs]e)?"
             yield full, 1, "creativecommons", (f"{letters} {version}",), f"creativecommons org licenses {letters} {version}"
     for label, priority, keyword, pattern in _SENTENCES:
         yield label, priority, keyword, (keyword,), pattern
 
 
-#: A rule is tried on texts that hold its keyword and one of its words.
+#: A rule is tried on texts that hold its keyword and one of its words; every match of its pattern holds both.
 RULES = tuple(Rule(i, *r) for i, r in enumerate(sorted(dict.fromkeys(_built()), key=lambda r: r[1])))
+#: What a rule's keyword looks like in a raw text, where anything may stand between two words: its longest word.
+KEYWORDS = {r.keyword: max(r.keyword.split(), key=len) for r in RULES} | {" cc ": "cc[^a-z0-9]"}
 #: Base phrases and their labels; their places are counted apart and never suppressed.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: A document's score is that of its strongest surviving rule, by priority; base phrases count as BASE_SCORE.

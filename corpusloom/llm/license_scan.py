@@ -41,13 +41,27 @@ def _places(norm: Column, pattern: Column) -> Column:
     return _let(at, lambda a: F.arrays_zip(pick(a, "first").alias("first"), pick(a, "last").alias("last")))
 
 
+def _may(low: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether any rule or base phrase can match: a lower-cased text holds every word that the text holds, whatever else lower() does beyond ASCII."""
+    every = lambda phrase: reduce(operator.and_, [F.contains(low, F.lit(w)) for w in phrase.split()])
+    words: dict[str, set[str]] = {"licen": {"licen"}}
+    for r in rules:
+        words.setdefault(r.keyword, set()).update(r.words)
+    ways = []
+    for keyword, own in sorted(words.items()):
+        way = every(keyword)
+        if KEYWORDS[keyword] not in keyword:
+            way = way & low.rlike(KEYWORDS[keyword])
+        if keyword not in own:
+            way = way & reduce(operator.or_, [every(w) for w in sorted(own)])
+        ways.append(way)
+    return reduce(operator.or_, ways)
+
+
 def detections(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with a column found: all matches of base phrases and rules as (base, first, last, priority, rule, label)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # A lower-cased text holds every keyword that the text holds, whatever else lower() does beyond ASCII.
-    stems = sorted({r.keyword.strip() for r in rules} | {"licen"})
-    may = _let(F.lower(text), lambda low: reduce(operator.or_, [F.contains(low, F.lit(k)) for k in stems]))
-    may = may & text.rlike("(?i)" + "|".join(sorted({KEYWORDS[r.keyword] for r in rules} | {"licen"})))
+    may = _let(F.lower(text), lambda low: _may(low, rules))
     whole = lambda p: f" ({p})(?= )"
     lit = lambda base, r: F.struct(F.lit(base).alias("base"), F.lit(r.priority).alias("priority"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.array(*map(F.lit, r.words)).alias("words"), F.lit(whole(r.pattern)).alias("pattern"))
     table = F.array(*[lit(True, Rule(-1 - i, label, 9, "licen", (phrase,), phrase)) for i, (phrase, label) in enumerate(BASE)], *[lit(False, r) for r in rules])

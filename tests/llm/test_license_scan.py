@@ -92,3 +92,24 @@ def test_gate_misses_nothing(text):
 def test_plan_is_native(spark):
     plan = license_scan.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+UNGATED = [
+    "Released under the GNU GPL v3.", "Available under the terms of Apache 2.0", "distributed under MIT", "GPL v3", "lgpl 2.1", "AGPL-3", "MPL 2.0", "EPL 2.0", "GFDL 1.3",
+    "CDDL", "cpl", "PSF 2", "Python Software Foundation", "odbl", "Open Database", "Apache 2.0", "artistic 2.0", "PHP 3.01", "elastic 2", "Boost Software", "business source 1.1",
+    "https://mozilla.org/MPL/2.0", "mozilla.org/MPL/1.1", "eclipse.org/legal/epl-v10", "eclipse.org/legal/epl/2.0", "mariadb.com/bsl11", "www.wtfpl.net", "scripts.sil.org/OFL", "cecill.info",
+    "Creative\nCommons Attribution 4.0 International", "creative commons attribution share-alike 3.0", "Published under CC BY 4.0",
+]
+
+
+def matching(text):
+    """Numbers of the rules that match, with no gate before them."""
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))) + " "
+    return sorted(r.number for r in lr.RULES if re.search(f" (?:{r.pattern})(?= )", norm))
+
+
+def test_keywords_lose_no_match(spark):
+    docs = spark.createDataFrame(list(enumerate(UNGATED + TEXTS)), "doc_id long, text string")
+    got = {r.text: sorted({d.rule for d in r.found or [] if not d.base}) for r in license_scan.detections(docs).select("text", "found").collect()}
+    assert got == {t: matching(t) for t in UNGATED + TEXTS}
+    assert all(got[t] for t in UNGATED)
