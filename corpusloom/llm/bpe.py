@@ -3,6 +3,11 @@
 Each leaf of the tree holds the rank of the merge of one symbol with its right neighbour. The root is the smallest
 (rank, place), so the leftmost of the lowest-ranked merges; a merge changes three leaves, each in logarithmic time.
 The vocabulary is read from a file in the format of the tokenizers library; the file's size bounds what is broadcast.
+
+Which characters are letters, and how they are normalized, depends on a version of Unicode. Python's tables agree with
+the library's on all code points but those that Python's leave unassigned, and marks that the library's normalization
+doesn't know (disputed()); texts with any of these are normalized and cut into pieces by the library. Merges are made
+here in either case.
 """
 
 from __future__ import annotations
@@ -11,12 +16,14 @@ import json
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
 from corpusloom.llm.common import bodies, column, slices
 
@@ -97,6 +104,22 @@ def merge_all(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int
     return [s for s in symbols if s >= 0]
 
 
+def disputed(nfc: Callable[[str], str]) -> set[str]:
+    """Assigned characters whose order or composition nfc doesn't know: it changes them unlike Python's tables do."""
+    every = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    marks = {c for c in every if unicodedata.combining(c)}
+    # Between a mark of the highest class and one of a low class, a mark that is known moves.
+    out = {c for c in marks if nfc(s := f"q\u0345{c}\u0334") != unicodedata.normalize("NFC", s)}
+    out |= {c for c in marks if nfc(s := f"q\u0345{c}\u0316") != unicodedata.normalize("NFC", s)}
+    for c in every:
+        rule = unicodedata.decomposition(c)
+        if rule and rule[0] != "<":
+            parts = unicodedata.normalize("NFD", c)
+            if nfc(parts) != unicodedata.normalize("NFC", parts) or nfc(c) != unicodedata.normalize("NFC", c):
+                out |= {c, *parts, *(chr(int(x, 16)) for x in rule.split())}
+    return out
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary with word ends, read from the JSON text of its file."""
 
@@ -116,6 +139,10 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(names) + ")") if names else None
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.agreed: set[str] = set()
+        self.disputed: set[str] | None = None
+        bare = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][0]}
+        self.library = Tokenizer.from_str(json.dumps(bare))
 
     def merged(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -129,15 +156,26 @@ class Vocabulary:
             self.cache[piece] = found
         return found
 
+    def pieces(self, text: str) -> list[str]:
+        if not text.isascii():
+            if self.disputed is None:
+                self.disputed = disputed(NFC().normalize_str)
+            new = set(text) - self.agreed
+            odd = {c for c in new if unicodedata.category(c) == "Cn" or c in self.disputed}
+            self.agreed |= new - odd
+            if odd:
+                return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+            # Lower-casing goes letter by letter, so the capital sigma has one lower form.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return _PIECES.findall(text.lower())
+
     def parts(self, text: str) -> Iterator[bytes]:
         get, met = self.cache.get, self.met
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
             if k % 2:
                 yield pack([self.added[part]])
             elif part:
-                # Lower-casing goes letter by letter, so the capital sigma has one lower form.
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for piece in _PIECES.findall(plain):
+                for piece in self.pieces(part):
                     yield get(piece) or met(piece)
 
     def encode(self, text: str) -> bytes:
