@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.sources.shared import shared_dir
@@ -33,6 +33,28 @@ def bodies(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), body, *more)
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of docs as one, so that none clashes with a name that an operator adds; row.* gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def text_sha(text_col: str = "text") -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256))
+
+
+def chosen(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of docs, with their own columns, one row for each of keep (doc_id, sha, n), settled: the row with that id and text.
+
+    n is how many rows of docs have this id and text; which of them stays, if their other columns differ, is open.
+    """
+    rows = docs.select(whole_rows(docs), F.col(id_col).cast("long").alias("id"), text_sha(text_col).alias("own"))
+    met = rows.join(keep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("sha")))
+    once = met.filter("n = 1").select("row.*")
+    if keep.filter("n > 1").isEmpty():
+        return once
+    return once.unionByName(met.filter("n > 1").dropDuplicates(["id", "own"]).select("row.*"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, col: str = "body") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about most_bytes of texts, never fewer than one row."""
     for batch in batches:

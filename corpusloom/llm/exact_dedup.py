@@ -19,9 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bodies, column, partitions, settled
+from corpusloom.llm.common import bodies, chosen, column, partitions, settled
 
 BLOCK_BYTES = 4096
+#: Pairs of names at most that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _NAMED = "uid long, pos long, doc_id long, n_bytes long, sha binary, name long, edge_h long, edge_key binary"
 
 
@@ -64,9 +66,10 @@ def _named(keyed: DataFrame, n: int) -> DataFrame:
     rows = settled(dealt.sortWithinPartitions("h", "key", "uid", "pos").mapInArrow(_name_runs, _NAMED))
     edges = rows.filter("uid is null").select(F.col("edge_h"), F.col("edge_key"), F.col("name").alias("own"))
     first = edges.groupBy("edge_h", "edge_key").agg(F.min("own").alias("canon"), F.collect_list("own").alias("all"))
-    # Two runs a partition at most, save where different keys share a hash: small whatever the corpus.
-    moved = first.filter("size(all) > 1").select(F.explode("all").alias("name"), "canon")
-    kept = rows.filter("uid is not null").drop("edge_h", "edge_key").join(F.broadcast(moved), "name", "left")
+    # Two runs a partition at most, save where different keys share a hash; still counted before they are broadcast.
+    moved = settled(first.filter("size(all) > 1").select(F.explode("all").alias("name"), "canon"))
+    small = F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved
+    kept = rows.filter("uid is not null").drop("edge_h", "edge_key").join(small, "name", "left")
     return kept.select("uid", "pos", "doc_id", "n_bytes", "sha", F.coalesce("canon", "name").alias("name"))
 
 
@@ -117,13 +120,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that stay, with docs' own columns: of equal texts the one with the largest id.
 
-    Where an id is repeated, its texts are told apart by their SHA-256, and one of equal repeats stays.
+    Rows are told apart by their id and their text's SHA-256, so where an id is repeated each of its texts is judged by
+    itself, and one of equal repeats stays.
     """
-    names, sha = docs.columns, F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256))
-    groups = settled(exact_groups(docs, id_col, text_col, block_bytes).select("doc_id", "kept", F.unhex("text_sha256").alias("sha")))
-    ids = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.count_if("kept").alias("__kept"))
-    found = docs.join(ids.filter("__kept > 0"), F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).withColumn("__sha", F.when(F.col("__rows") > 1, sha))
-    repeats = ids.filter("__rows > 1").select("__id")
-    twice = groups.filter("kept").join(repeats, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__keep_id"), F.col("sha").alias("__keep_sha"))
-    again = found.filter("__rows > 1").join(twice, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    return found.filter("__rows = 1").select(names).unionByName(again.dropDuplicates(["__id", "__sha"]).select(names))
+    groups = exact_groups(docs, id_col, text_col, block_bytes).select("doc_id", "kept", F.unhex("text_sha256").alias("sha"))
+    keep = settled(groups.groupBy("doc_id", "sha").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("kept").drop("kept"))
+    return chosen(docs, keep, id_col, text_col)

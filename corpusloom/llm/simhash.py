@@ -14,6 +14,7 @@ Of the pairs found in one trie only a spanning forest is emitted: its components
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bodies, column, partitions, settled
+from corpusloom.llm.common import bodies, chosen, column, partitions, settled
 from corpusloom.llm.graph import components, forest
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -50,15 +51,24 @@ def fingerprint(body: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEE
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long; a null text has no words."""
+    """(doc_id, fp, sha): the fingerprint of each row's whole text as a signed long, and its SHA-256; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), shingle_words, seed) for x in column(batch, "body")], np.uint64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = [x.as_py() for x in column(batch, "body")]
+            fps = np.array([fingerprint(x, shingle_words, seed) for x in texts], np.uint64)
+            sha = pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps.view(np.int64)), sha], ["doc_id", "fp", "sha"])
 
     rows = bodies(docs, id_col=id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, sha binary")
+
+
+def _roots(rows: DataFrame, max_bits: int) -> DataFrame:
+    """rows (fp) to (fp, root), settled: each fingerprint once, with the smallest that it is linked with."""
+    distinct = settled(rows.select("fp").distinct())
+    roots = components(near_links(distinct, max_bits))
+    return settled(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
 def trie_pairs(fps: np.ndarray, starts: list[tuple[int, int, int, int]], max_bits: int, leaf: int = 64, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -172,7 +182,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     masks = _bands(fps.count(), max_bits)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     tries = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("prefix")) for i, m in enumerate(masks)])).alias("t")).select("fp", "t.*")
-    sizes = tries.groupBy("combo", "prefix").agg(F.ceil(F.count("*") / block).cast("int").alias("cut"), F.count("*").alias("size")).filter("size > 1")
+    # Settled, so that the join with a hot trie is one of two plain shuffles.
+    sizes = settled(tries.groupBy("combo", "prefix").agg(F.ceil(F.count("*") / block).cast("int").alias("cut"), F.count("*").alias("size")).filter("size > 1"))
     met = tries.join(sizes, ["combo", "prefix"])
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cut")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
@@ -192,20 +203,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts have fingerprint zero and link like any other. A null id never becomes a component's id unless all its
     members' ids are null. An empty table gives an empty result; other columns of docs don't matter.
     """
-    rows = settled(fingerprints(docs, id_col, text_col, shingle_words, seed))
-    distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct.select("fp"), max_bits))
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = settled(member)
+    rows = settled(fingerprints(docs, id_col, text_col, shingle_words, seed).drop("sha"))
+    roots = _roots(rows, max_bits)
+    least = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    member = roots.join(least, "fp")
     # Settled, so that a join with a large component is one of two plain shuffles, which adaptive execution can split.
     named = settled(member.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = settled(member.join(named, "root").select("fp", "component_id"))
+    by_fp = settled(roots.join(named, "root").select("fp", "component_id"))
     out = rows.join(by_fp, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns: of each group of near copies the smallest id; rows without id stay."""
-    found = near_components(docs, id_col, text_col, shingle_words, max_bits)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, with docs' own columns: one of each group of near copies.
+
+    It is the row with the smallest id, a null id being the largest. Rows are told apart by their id and their text's
+    SHA-256: where an id is repeated with unlike texts, each text belongs to its own group, and if several of an id are
+    in one group the smallest fingerprint, then the smallest SHA-256 stays. Of equal repeats one stays.
+    """
+    rows = settled(fingerprints(docs, id_col, text_col, shingle_words))
+    roots = _roots(rows, max_bits)
+    same = rows.groupBy("fp", "doc_id", "sha").agg(F.count("*").alias("n"))
+    best = lambda *more: F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *more, "sha", "n")).alias("top")
+    by_fp = settled(same.groupBy("fp").agg(best()).select("fp", "top.doc_id", "top.sha", "top.n"))
+    keep = by_fp.join(roots, "fp").groupBy("root").agg(best("fp")).select("top.doc_id", "top.sha", "top.n")
+    return chosen(docs, settled(keep), id_col, text_col)

@@ -82,3 +82,14 @@ def test_mask_choices_share_bits():
         for _ in range(200):
             diff = sum(1 << b for b in rng.sample(range(64), 4))
             assert any(diff & m == 0 for m in masks)
+
+
+def test_near_dedup_judges_texts_of_a_repeated_id(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(3))
+    schema = "doc_id long, text string, id string, own string, sha string, n string, row string"
+    more = ("x", "y", "z", "0", "r")
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.near_dedup(spark.createDataFrame([(i, t, *more) for i, t in rows], schema)).collect()), key=str)
+    assert kept([(1, a), (5, a), (5, b), (6, c)]) == sorted([(1, a), (5, b), (6, c)])
+    assert kept([(5, a), (5, a), (5, a), (6, None), (None, None)]) == [(5, a), (6, None)]
+    assert kept([(None, a), (None, a), (None, b)]) == sorted([(None, a), (None, b)], key=str)
