@@ -14,14 +14,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import settled
+from corpusloom.llm.common import partitions, settled, whole_rows
 
 WEIGHTS, MAX_TIMES, CHUNK = (5, 2, 1), 3, 512
 #: Documents of a source that the landing decides together with what the flight has left, two at most.
 LANDING = 12
+_ROWS_AT_ONCE = 10_000
 _EPS = 1e-9
 
 
@@ -106,7 +107,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _flight(chunk: pd.DataFrame) -> pd.DataFrame:
-    chunk = chunk.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    chunk = chunk.sort_values(["h", "doc_id", "size", "text_hash"], kind="stable").reset_index(drop=True)
     p, size = chunk["p"].to_numpy(float), chunk["size"].to_numpy(np.int64)
     draw = ((chunk["h"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / 2.0**53
     if chunk["chunks"].iloc[0] > 1:
@@ -119,51 +120,85 @@ def _flight(chunk: pd.DataFrame) -> pd.DataFrame:
     return chunk.assign(p=land(p, size))
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_times: int = MAX_TIMES, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): one row for each row of docs.
+def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, text_hash, rows, h), settled: rows with the same id, source and text are one unit."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), _text_hash(text_col))
+    units = own.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("rows"))
+    return settled(units.withColumn("h", F.xxhash64("doc_id", "size", "text_hash")))
 
-    size is the text's number of words (null: 0), copies how often the mix takes the row, taken its words in the mix.
-    Null sources are one source, the last. A source without words has target 0 and no copies. A repeated row is a row
-    of its own. Draws depend on ids and sizes alone, so reruns agree. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
-    rows = settled(rows.withColumn("h", F.xxhash64("doc_id", "size")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash")
+
+
+def _dealt(units: DataFrame, weights: tuple[int, ...], max_times: int, chunk: int) -> DataFrame:
+    """units with source_size, target and copies: how often the mix takes all rows of a unit together."""
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     targets = settled(source_targets(sizes, weights, max_times)).withColumnRenamed("source", "of")
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    met = rows.join(targets, rows["source"].eqNullSafe(targets["of"])).drop("of").withColumn("times", times)
+    times = F.when(F.col("source_size") > 0, F.col("rows") * F.col("target") / F.col("source_size")).otherwise(0.0)
+    met = units.join(targets, units["source"].eqNullSafe(targets["of"])).drop("of").withColumn("times", times)
     met = met.withColumn("sure", F.floor(F.col("times") + _EPS)).withColumn("p", F.greatest(F.col("times") - F.col("sure"), F.lit(0.0)))
     met = settled(met.drop("times"))
     open_ = F.col("p").between(_EPS, 1 - _EPS)
     decided, rest = [met.filter(~open_)], met.filter(open_)
+    kept = ["doc_id", "source", "size", "text_hash", "rows", "h", "source_size", "target", "sure", "p"]
+    schema = "doc_id long, source string, size long, text_hash long, rows long, h long, source_size long, target double, sure long, p double, chunks long, chunk long"
     while True:
         counts = rest.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-        cut = rest.drop("chunks").join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        cut = rest.select(kept).join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
         cut = cut.withColumn("chunk", F.pmod(F.xxhash64("h", F.lit(len(decided))), "chunks"))
-        schema = "doc_id long, source string, size long, h long, source_size long, target double, sure long, p double, chunks long, chunk long"
-        flown = settled(cut.select("doc_id", "source", "size", "h", "source_size", "target", "sure", "p", "chunks", "chunk").groupBy("source", "chunk").applyInPandas(_flight, schema))
-        decided.append(flown.filter(~open_).drop("chunk", "chunks"))
-        rest = flown.filter(open_).drop("chunk")
+        flown = settled(cut.groupBy("source", "chunk").applyInPandas(_flight, schema))
+        decided.append(flown.filter(~open_).select(kept))
+        rest = flown.filter(open_).select(kept)
         if rest.isEmpty():
             break
-    copies = (F.col("sure") + F.round("p")).cast("long")
-    all_ = reduce(DataFrame.unionByName, decided)
-    return all_.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    all_ = reduce(DataFrame.unionByName, [d.select(kept) for d in decided])
+    return all_.withColumn("copies", (F.col("sure") + F.round("p")).cast("long"))
+
+
+def _share(nth):
+    """Of a unit's copies those of its nth row, from 1: as even as whole numbers allow."""
+    return F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("long")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_times: int = MAX_TIMES, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): one row for each row of docs.
+
+    size is the text's number of words (null: 0), copies how often the mix takes the row, taken its words in the mix.
+    Null sources are one source, the last. A source without words has target 0 and no copies. Rows with the same id,
+    source and text are dealt with as one, and share what the mix takes of them as evenly as whole numbers allow.
+    Draws depend on ids, sizes and texts alone, so reruns agree. An empty table gives an empty result.
+    """
+    units = settled(_dealt(_units(docs, id_col, text_col, source_col), weights, max_times, chunk))
+    once = units.filter("rows = 1")
+    # A unit may have a third of all rows: its rows are made in blocks, dealt to all tasks.
+    blocks = units.filter("rows > 1").withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(_ROWS_AT_ONCE).cast("long"))))
+    blocks = blocks.repartition(partitions(docs), F.xxhash64("h", "first"))
+    last = F.least("rows", F.col("first") + _ROWS_AT_ONCE - 1)
+    more = blocks.withColumn("nth", F.explode(F.sequence("first", last))).withColumn("copies", _share(F.col("nth"))).select(units.columns)
+    out = once.unionByName(more)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of the mix, with docs' own columns: each row as often as the mix takes it.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_times: int = MAX_TIMES, chunk: int = CHUNK) -> DataFrame:
+    """The rows of the mix, with docs' own columns: each row as often as take() says.
 
-    Rows with the same id, source and size share what the mix takes of them as evenly as whole numbers allow.
+    Which of the rows with the same id, source and text are taken once more, if their other columns differ, is open.
     """
-    names = docs.columns
-    taken = take(docs, id_col, text_col, source_col, **options)
-    known = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    known = known.filter("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies", "__rows")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (words(text_col) == F.col("__size"))
-    met = docs.join(known, same)
-    once = met.filter("__rows = 1").withColumn("__own", F.col("__copies"))
-    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.col(text_col)))
-    more = met.filter("__rows > 1").withColumn("__own", F.floor(F.col("__copies") / F.col("__rows")) + (nth <= F.col("__copies") % F.col("__rows")).cast("long"))
-    out = once.unionByName(more).filter("__own > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own").cast("long"))))
-    return out.select(names)
+    units = _dealt(_units(docs, id_col, text_col, source_col), weights, max_times, chunk)
+    units = settled(units.filter("copies > 0").select("doc_id", "source", "text_hash", "copies", "rows"))
+    rows = docs.select(whole_rows(docs), F.col(id_col).cast("long").alias("own_id"), F.col(source_col).cast("string").alias("own_source"), _text_hash(text_col).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_hash") == F.col("text_hash"))
+    met = rows.join(units, same)
+    taken = met.filter("rows = 1").select("row", "copies")
+    if not units.filter("rows > 1").isEmpty():
+        # Rows of a unit are numbered in the partitions where the join has left them, from the sum of those before.
+        part = settled(met.filter("rows > 1").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+        key = ["doc_id", "source", "text_hash"]
+        counts = part.groupBy(*key, "part").agg(F.count("*").alias("size"))
+        before = F.sum("size").over(Window.partitionBy(*key).orderBy("part")) - F.col("size")
+        offsets = settled(counts.select(*[F.col(c).alias(f"of_{c}") for c in key], F.col("part").alias("of_part"), before.alias("before")))
+        placed = part.withColumn("within", F.row_number().over(Window.partitionBy(*key, "part").orderBy("at")))
+        placed = placed.join(offsets, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*key, "part")]))
+        taken = taken.unionByName(placed.select("row", _share(F.col("within") + F.col("before")).alias("copies")).filter("copies > 0"))
+    return taken.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")

@@ -77,6 +77,10 @@ def test_empty_and_wordless(spark):
     assert {tuple(r) for r in mixing.take(docs).collect()} == {(1, None, 0, 0, 0.0, 0, 0), (2, "a", 0, 0, 0.0, 0, 0)}
 
 
+def rows_of_mix(out):
+    return Counter((r.doc_id, r.source, size(r.text)) for r in out.collect())
+
+
 def test_mixed_rows(spark):
     docs = awkward(spark)
     out = mixing.mixed(docs)
@@ -84,4 +88,19 @@ def test_mixed_rows(spark):
     due = Counter()
     for r in mixing.take(docs).collect():
         due[r.doc_id, r.source, r.size] += r.copies
-    assert Counter((r.doc_id, r.source, size(r.text)) for r in out.collect()) == Counter({k: n for k, n in due.items() if n})
+    assert rows_of_mix(out) == Counter({k: n for k, n in due.items() if n})
+
+
+def test_a_third_of_all_rows_is_one_row(spark):
+    """Repeats of a row are one unit: they are never in one task, and share their copies evenly."""
+    rows = [(1, "one two three", "a", "x")] * 700 + [(i, "w " * (i % 9), f"s{i % 3}", "x") for i in range(2, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string").repartition(13)
+    got, want, taken = check(docs)
+    hot = [r.copies for r in got if r.doc_id == 1]
+    assert len(hot) == 700 and max(hot) - min(hot) <= 1
+    due = Counter()
+    for r in got:
+        due[r.doc_id, r.source, r.size] += r.copies
+    out = mixing.mixed(docs)
+    assert rows_of_mix(out) == Counter({k: n for k, n in due.items() if n})
+    assert mixing._dealt(mixing._units(docs, "doc_id", "text", "source"), mixing.WEIGHTS, 3, mixing.CHUNK).filter("doc_id = 1").count() == 1
