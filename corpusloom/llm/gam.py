@@ -160,9 +160,9 @@ def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(b.as_py()) for b in column(batch, "body")]
-            yield pa.RecordBatch.from_arrays([column(batch, "y"), pa.array(list(map(np.ndarray.tolist, x)), pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(list(map(np.ndarray.tolist, x)), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    return rows.mapInArrow(run, "y int, x array<double>")
+    return rows.mapInArrow(run, "doc_id long, y int, x array<double>")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -171,15 +171,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Gam:
-    """Fits a model to labelled rows that are not held out, sample of them at most; null labels don't count."""
+    """Fits a model to labelled rows that are not held out, sample of them at most; null labels don't count.
+
+    The rows are those whose ids have the smallest hashes, and of a repeated id those with the smallest features, so
+    the same tables give the same model. Of several labels of an id the largest counts.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("__id").isNotNull())
     known = known.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
-    # The limit bounds what is broadcast and what reaches the driver.
+    # The limit bounds what is broadcast.
     few = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = bodies(docs, id_col=id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     met = rows.join(F.broadcast(few), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "body")
-    # Features are made where the texts are; only these go to the one task of the limit.
-    got = _featured(met).limit(2 * sample).toPandas()
+    # Features are made where the texts are, and each task keeps sample rows at most; ids may repeat, so rows are bounded too.
+    got = _featured(met).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).toPandas()
     if not len(got):
         return Gam()
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy(float)
