@@ -59,6 +59,22 @@ def tile(label: str, value: Column, metric: str, percent: bool = False, out_of_f
     return F.concat(F.lit('<div class="metric" style="color: '), shade, F.lit(f'">{label}: '), formatted(value, percent, out_of_five), F.lit("</div>"))
 
 
+def report(results: DataFrame, questions: DataFrame, query_col: str = "query_id", category_col: str = "category") -> dict[str, DataFrame]:
+    """A question set evaluated in one call: results (query_col, rank, text), questions (query_col, keywords, category_col).
+
+    Gives "questions", a row for each, "categories", the mean of mrr in each, and "summary", one row of means.
+    """
+    each = by_question(by_keyword(results, questions, query_col=query_col), questions, query_col)
+    return {"questions": each, "categories": means(each, ["mrr"], category_col), "summary": means(each, ["mrr", "ndcg", "keyword_coverage"])}
+
+
+def routed(predicted: DataFrame) -> DataFrame:
+    """predicted (expected, predicted, ...) with what each row counts as in confusion(), and whether it is right."""
+    e, p = F.col("expected"), F.col("predicted")
+    kind = F.when(e & p, "tp").when(~e & ~p, "tn").when(~e & p, "fp").when(e & ~p, "fn")
+    return predicted.withColumn("outcome", kind).withColumn("correct", e == p)
+
+
 def confusion(predicted: DataFrame) -> DataFrame:
     """predicted (expected, predicted, latency) to one row: tp, tn, fp, fn, accuracy, latency."""
     e, p = F.col("expected"), F.col("predicted")

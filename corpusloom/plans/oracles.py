@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.functions.text import TOKEN
+from corpusloom.functions.text import CHUNK_CHARS, OVERLAP_CHARS, SEPARATORS, TOKEN
 from corpusloom.models import RuleRouter
 
 _DOCS = "(SELECT doc_id AS id, source || '_' || doc_id || '.docx' AS document_name, text FROM documents)"
@@ -80,7 +80,79 @@ def _recent(n: int) -> str:
     return f"SELECT conv_id AS conversation_id, turn AS id, role, text AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {n}"
 
 
+def _chunks(size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, separators: tuple[str, ...] = SEPARATORS) -> str:
+    """CTEs that end in chunk (doc_id, chunk_index, text): a stage for each separator, then pieces put together.
+
+    A stage cuts the texts that hold its separator before each place of it; pieces that are too long go to the next
+    stage, neighbours among the others are a run. place: where a piece lies, as a list with a number for each stage.
+    """
+    ctes, runs = ["t1 AS (SELECT doc_id, []::BIGINT[] AS place, text AS t FROM documents WHERE text <> '')"], []
+    for k, sep in enumerate(separators, 1):
+        quoted = "''" if not sep else " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in sep)
+        cut = f"list_transform(string_split(t, {quoted}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {quoted} || x END)" if sep else "list_transform(range(1, length(t) + 1), lambda i: substring(t, i, 1))"
+        holds = f"contains(t, {quoted})" if sep else "true"
+        small = f"length(p) < {size}" if sep else f"length(p) <= {size}"
+        ctes.append(f"""c{k} AS (SELECT doc_id, place, list_filter({cut}, lambda x: x <> '') AS ps FROM t{k} WHERE {holds}),
+p{k} AS (SELECT doc_id, place, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS n FROM c{k}),
+m{k} AS (SELECT *, {small} AS small, n - count(*) FILTER ({small}) OVER (PARTITION BY doc_id, place ORDER BY n) AS run FROM p{k}),
+r{k} AS (SELECT doc_id, list_append(place, min(n)) AS place, list(p ORDER BY n) AS ps FROM m{k} WHERE small GROUP BY doc_id, m{k}.place, run)""")
+        runs.append(f"SELECT * FROM r{k}")
+        if k < len(separators):
+            ctes.append(f"t{k + 1} AS (SELECT doc_id, list_append(place, n) AS place, p AS t FROM m{k} WHERE NOT small UNION ALL SELECT doc_id, list_append(place, 0), t FROM t{k} WHERE NOT ({holds}))")
+    return ",\n".join(ctes) + f""",
+sized AS (SELECT doc_id, place, array_to_string(ps, '') AS t, list_prepend(0, list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[:i], lambda x: length(x)))::BIGINT)) AS e
+          FROM ({" UNION ALL ".join(runs)})),
+packed AS (SELECT doc_id, place, t, e, list_reduce(list_transform(range(0, len(e)), lambda i: {{'i': i, 'f': 0::BIGINT, 'o': []::BIGINT[][]}}), lambda s, y:
+             CASE WHEN e[y.i] > e[s.f + 1] AND e[y.i + 1] - e[s.f + 1] > {size}
+             THEN {{'i': y.i, 'o': list_append(s.o, [s.f, y.i - 1]), 'f': list_filter(range(s.f, y.i), lambda f: e[y.i] - e[f + 1] <= {overlap} AND (e[y.i] = e[f + 1] OR e[y.i + 1] - e[f + 1] <= {size}))[1]}}
+             ELSE {{'i': y.i, 'o': s.o, 'f': s.f}} END) AS s FROM sized),
+cut AS (SELECT doc_id, place, unnest(range(1, len(o) + 1)) AS n, unnest(list_transform(o, lambda x: regexp_replace(substring(t, e[x[1] + 1] + 1, e[x[2] + 1] - e[x[1] + 1]), '^\\s+|\\s+$', '', 'g'))) AS c
+        FROM (SELECT *, list_append(s.o, [s.f, (len(e) - 1)::BIGINT]) AS o FROM packed)),
+chunk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, n) - 1 AS chunk_index, c AS text FROM cut WHERE c <> '')"""
+
+
+_NUMBER = "(doc_id % 1000)::VARCHAR"
+_FIGURES = f"""fig AS (SELECT doc_id, source, u.* FROM documents, (VALUES (1, 'r1', 'word/media/one.PNG', '.png'), (2, 'r2', 'other/two', '.bin'), (3, 'r4', 'word/media/old.jpeg', '.jpeg'), (4, 'r1', 'word/media/one.PNG', '.png')) u(position, relationship_id, source_path, ending)),
+named AS (SELECT *, doc_id || '_' || printf('%06d', position) || ending AS filename, md5(CASE relationship_id WHEN 'r1' THEN repeat('1', (doc_id % 1000 + 1)::INT) WHEN 'r2' THEN coalesce(source, '') ELSE 'old' END) AS md5 FROM fig),
+marks AS (SELECT doc_id, list('[Figure: ' || filename || ']' || chr(10) || chr(10) || 'Image Description:' || chr(10) || '<empty>' ORDER BY position) AS m FROM named GROUP BY doc_id)"""
+
+
+def _values(rows: str, names: str) -> str:
+    return f"SELECT * FROM (VALUES {rows}) t({names})"
+
+
 ORACLES = {
+    "bm25_saved_index": f"WITH {_BM25} SELECT query_id, rank, doc_id, score FROM top",
+    "knn_topk_filtered": "WITH vq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), near AS (SELECT query_id, vec_id, round(list_dot_product(v::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM vq CROSS JOIN embeddings WHERE label = 3) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM near QUALIFY rank <= 5",
+    "embed_documents": "SELECT doc_id, 64 AS size, 1.0::DOUBLE AS norm FROM documents",
+    "chunk_by_id": f"SELECT id || ':0' AS chunk_id, id AS document_id, document_name, text FROM {_DOCS} WHERE id = 7",
+    "path_parts": r"WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) SELECT page_id, regexp_extract(path, '([^/]*)$', 1) AS basename, coalesce(nullif(lower(regexp_extract(path, '[^/.][^/]*?(\.[^./]+)$', 1)), ''), '.bin') AS suffix FROM p",
+    "prompts_with_question": "SELECT item_id AS query_id, md5(chr(10) || '===== SOURCE =====' || chr(10) || 'Document: q_' || item_id || chr(10) || 'Chunk: ' || item_id || ':2' || chr(10) || chr(10) || text || '!' || chr(10) || chr(10) || chr(10) || 'This is user question:' || chr(10) || text) AS md5 FROM benchmark",
+    "point_ids": "SELECT count(*) AS points, count(DISTINCT doc_id) AS ids, count(*) AS paired, count(*) AS whole FROM documents",
+    "request_checks": _values("('page', '0', true), ('page', '1', false), ('page_size', '-1', true), ('page_size', '5', false), ('title', '0', true), ('title', '1', false), ('title', '100', false), ('title', '101', true)", "what, value, refused"),
+    "router_details": f"""WITH r AS (SELECT doc_id, quality = 1 AS expected, NOT {_plain("text")} AS predicted, text FROM documents JOIN labels USING (doc_id))
+        SELECT doc_id, expected, predicted, CASE WHEN expected AND predicted THEN 'tp' WHEN NOT expected AND NOT predicted THEN 'tn' WHEN NOT expected AND predicted THEN 'fp' WHEN expected AND NOT predicted THEN 'fn' END AS outcome,
+        expected = predicted AS correct, md5(CASE WHEN predicted THEN coalesce(trim(text, ' '), '') ELSE '' END) AS query_md5 FROM r""",
+    "stage_seconds": _values("('history', true, true), ('router', true, true), ('retrieval', true, true), ('llm', true, true), ('total', true, true)", "stage, fits, add_up"),
+    "chat_answers": "SELECT conv_id AS conversation_id, substring(text, 1, 200) AS answer, 0 AS n_references FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+    "stream_eval_questions": f"WITH {_BM25}, {_KEYWORDS} SELECT query_id, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, keywords_found, total_keywords, round(keyword_coverage, 6) AS keyword_coverage FROM asked",
+    "parse_docx_details": f"""WITH {_FIGURES} SELECT doc_id, array_to_string(['doc ' || {_NUMBER} || chr(9) || 'after tab' || chr(10) || 'after break' || chr(10) || 'end', 'see ' || source || chr(9) || 'keptflat',
+        'a | ' || {_NUMBER} || ' b', 'in | ' || {_NUMBER} || ' z', 'before', m[1], 'between', m[2], 'after', m[3], m[4]], chr(10) || chr(10)) AS text, NULL::VARCHAR AS error FROM documents JOIN marks USING (doc_id)""",
+    "parse_docx_figures": f"WITH {_FIGURES} SELECT filename, relationship_id, source_path, position, md5 FROM named",
+    "broken_docx": "SELECT 26 AS n, 2 AS fine, 24 AS without_text",
+    "markdown_round_trip": "SELECT source || '_' || doc_id || '.md' AS document_name, md5(text) AS md5 FROM documents WHERE text <> ''",
+    "question_set_round_trip": f"""WITH {_BM25}, {_KEYWORDS}, own AS (SELECT query_id, string_agg(keyword, ',' ORDER BY nth) AS k FROM kw WHERE nth <= 3 GROUP BY query_id)
+        SELECT DISTINCT text AS question, coalesce(k, '') AS keywords, md5('It is: ' || text) AS answer_md5, (item_id % 4)::VARCHAR AS category, '' AS history, item_id % 2 = 0 AS expected_use_rag FROM benchmark LEFT JOIN own ON query_id = item_id""",
+    "conversation_set_round_trip": "SELECT conv_id::VARCHAR AS id, (conv_id % 3)::VARCHAR AS category, count(*) AS n, md5(string_agg(text, '|' ORDER BY turn)) AS md5 FROM conversations GROUP BY conv_id",
+    "create_collection": "SELECT 0 AS before, count(*) AS points, count(DISTINCT label) AS documents FROM embeddings",
+    "library_upload": "SELECT 'broken.docx' AS document_name, true AS error, count(*) AS documents, 4 * count(*) AS images, count(*) AS chunks, count(*) AS vectors, count(*) AS documents_there, 4 * count(*) AS images_there, count(*) AS chunks_there, count(*) AS vectors_there, count(*) AS files_there, 'ok' AS health FROM documents",
+    "library_documents": f"""SELECT * FROM (SELECT 'page' AS what, document_name, (SELECT count(*) FROM documents) AS n FROM {_DOCS} ORDER BY document_name LIMIT 5 OFFSET 5) UNION ALL
+        SELECT * FROM (SELECT 'search', document_name, count(*) OVER () FROM {_DOCS} WHERE document_name ILIKE '%SRC3_%' ORDER BY document_name LIMIT 4) UNION ALL
+        SELECT 'download', 'src3_3.docx|doc 3' || chr(9) || 'after tab', 1 UNION ALL SELECT 'image', '1111', 1""",
+    "library_delete": "WITH n AS (SELECT count(*) - 1 AS n FROM documents) SELECT 'documents' AS what, n FROM n UNION ALL SELECT 'files', n FROM n UNION ALL SELECT 'images', 4 * n FROM n UNION ALL SELECT 'lone images', 0 UNION ALL SELECT 'folders gone', 5",
+    "library_conversations": """WITH a AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark)
+        SELECT n AS conversation_id, CASE WHEN n = 2 THEN 'renamed' ELSE 'hello ' || item_id END AS title, 'user:hello ' || item_id || '|assistant:hello ' || item_id || CASE WHEN n > 1 THEN '|user:thanks a lot|assistant:thanks a lot' ELSE '' END AS messages FROM a WHERE n <> 3""",
+    "chunk_documents": f"WITH {_chunks()} SELECT doc_id || ':' || chunk_index AS id, doc_id, chunk_index, text FROM chunk",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, rank, doc_id, score FROM top",
     "term_stats": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "tokenize_docs": f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, array_to_string({_tokens('text')}, ' ') AS tokens FROM documents",
@@ -131,7 +203,7 @@ ORACLES = {
     "router_confusion": f"""WITH r AS (SELECT quality = 1 AS e, NOT {_plain("text")} AS p, n_chars FROM documents JOIN labels USING (doc_id))
         SELECT count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND NOT p) AS tn, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn,
         round(avg((e = p)::INT), 6) AS accuracy, round(avg(n_chars), 2) AS latency FROM r""",
-    "figure_refs": r"SELECT doc_id, array_to_string(regexp_extract_all('See [Figure: img_' || doc_id || '.png] and [Figure: ' || source || '] but not [Figure: ] ' || substring(text, 1, 50), '\[Figure: ([^\]]+)\]', 1), ',') AS figures FROM documents",
+    "figure_refs": r"SELECT doc_id, array_to_string(regexp_extract_all('See [Figure: img_' || doc_id || '.png] and [Figure: ' || source || '] but not [Figure: ] ' || coalesce(text, ''), '\[Figure: ([^\]]+)\]', 1), ',') AS figures FROM documents",
     "chunk_invariants": r"SELECT doc_id, true AS fit, true AS numbered FROM documents WHERE regexp_replace(coalesce(text, ''), '\s', '', 'g') <> ''",
     "parse_docx_round_trip": r"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', '', 'g'), chr(10)),
         lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10))) AS md5, 0 AS n_images FROM documents""",

@@ -8,6 +8,7 @@ letters or more.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -17,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom import schema
 from corpusloom.functions import text
-from corpusloom.models import OverlapJudge, OverlapReranker, RuleRouter
+from corpusloom.models import EchoGenerator, HashEmbedder, OverlapJudge, OverlapReranker, RuleRouter, embedded
 from corpusloom.operators import bm25, catalog, chat, evals, retrieve, vector
+from corpusloom.service import Library, Uploaded
 from corpusloom.sources import docx, tables
 from corpusloom.sources.shared import shared_dir
 from corpusloom.sources.tables import load
-from corpusloom.streaming import history
+from corpusloom.streaming import evaluation, history
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +51,11 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _asked(load(spark, sf, "benchmark"))
+
+
+def _asked(benchmark: DataFrame) -> DataFrame:
+    asked = benchmark.select(F.col("item_id").alias("query_id"), "text")
     return asked.withColumn("keywords", F.slice(F.array_distinct(F.filter(text.tokens(F.col("text")), lambda t: F.length(t) >= 5)), 1, 3))
 
 
@@ -58,6 +65,13 @@ def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return near.join(load(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), "query_id")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; a relative path or one without a scheme becomes a URI that every reader takes."""
+    root = shared_dir(spark)
+    root = f"file://{root}" if root.startswith("/") else re.sub("^file:/+", "file:///", root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.topk(_questions(spark, sf).select("query_id", "text"), load(spark, sf, "documents"))
@@ -66,7 +80,15 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
-    return bm25.term_stats(bm25.postings(docs), bm25.corpus_stats(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.frequencies(bm25.document_frequencies(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def bm25_saved_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as bm25_topk from an index that is written, and read again."""
+    docs, folder = load(spark, sf, "documents"), _folder(spark, "index")
+    tables.save_index(bm25.build(docs), folder)
+    return bm25.topk_of(_questions(spark, sf).select("query_id", "text"), tables.load_index(spark, folder), docs.select("doc_id"))
 
 
 @query
@@ -86,6 +108,23 @@ def knn_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
     return vector.knn_batch(rows.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), rows, 20)
 
 
+@query
+def knn_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest rows among those with one label only."""
+    rows = load(spark, sf, "embeddings")
+    asked = rows.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector.knn_batch(asked, rows, 5, where=F.col("label") == 3)
+
+
+@query
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's vector by a test double, as its number of parts that aren't zero and its length."""
+    v = embedded(HashEmbedder(), F.col("text"))
+    parts = load(spark, sf, "documents").select("doc_id", v.alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return parts.select("doc_id", F.size("v").cast("long").alias("size"), F.round(norm, 4).alias("norm"))
+
+
 @query
 def ordered_id_lookup(spark: SparkSession, sf: str) -> DataFrame:
     ids = spark.range(1).select(F.array(*[F.lit(i).cast("long") for i in (42, 7, -1, 7, 19, 0)]).alias("ids"))
@@ -144,6 +183,53 @@ def chunks_by_ids(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.with_document(catalog.by_ids(chunks, "chunk_id", ["3:0", "5:0", "none"]), docs).select("chunk_id", "document_id", "document_name")
 
 
+@query
+def chunk_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    chunks = docs.select(text.chunk_id(F.col("id"), F.lit(0)).alias("chunk_id"), F.col("id").alias("document_id"), "text")
+    return retrieve.with_document(catalog.by_value(chunks, "chunk_id", "7:0"), docs).select("chunk_id", "document_id", "document_name", "text")
+
+
+@query
+def path_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Base names and endings of the paths of all pages."""
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    return load(spark, sf, "pages").select("page_id", text.basename(path).alias("basename"), text.suffix(path).alias("suffix"))
+
+
+@query
+def prompts_with_question(spark: SparkSession, sf: str) -> DataFrame:
+    """A context of one source with the question after it, for every question."""
+    block = retrieve.source_block(F.concat(F.lit("q_"), F.col("query_id").cast("string")), text.chunk_id(F.col("query_id"), F.lit(2)), F.concat("text", F.lit("!")))
+    return _questions(spark, sf).select("query_id", F.md5(retrieve.with_question(block, F.col("text"))).alias("md5"))
+
+
+@query
+def point_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of chunks with their vectors in one row: as many as documents, none twice."""
+    chunks = load(spark, sf, "documents").select(text.chunk_id(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").cast("string").alias("document_id"), embedded(HashEmbedder(8), F.col("text")).alias("vector"))
+    points = tables.vector_points(chunks)
+    return points.agg(F.count("*").alias("points"), F.countDistinct("id").alias("ids"), F.count_if(F.col("chunk_id") == F.concat("document_id", F.lit(":0"))).alias("paired"), F.count_if(F.size("vector") == 8).alias("whole"))
+
+
+@query
+def request_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Which pages and titles are refused."""
+
+    def refused(work: Callable[[], object]) -> bool:
+        try:
+            work()
+        except ValueError:
+            return True
+        return False
+
+    docs, convs = _documents(spark, sf), _conversations(spark, sf)
+    found = [("page", str(n), refused(lambda: catalog.page(docs, "document_name", "id", n, 5))) for n in (0, 1)]
+    found += [("page_size", str(n), refused(lambda: catalog.page(docs, "document_name", "id", 1, n))) for n in (-1, 5)]
+    found += [("title", str(n), refused(lambda: catalog.renamed(convs, 1, "x" * n, F.lit(1).cast("long")))) for n in (0, 1, 100, 101)]
+    return spark.createDataFrame(found, "what string, value string, refused boolean")
+
+
 @query
 def documents_with_images(spark: SparkSession, sf: str) -> DataFrame:
     """Pages stand for images: page k belongs to document k modulo 100."""
@@ -293,7 +379,28 @@ def eval_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def eval_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return _by_question(spark, sf).select("query_id", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"), F.col("keywords_found").cast("long").alias("keywords_found"), F.col("total_keywords").cast("long").alias("total_keywords"), F.round("keyword_coverage", 6).alias("keyword_coverage"))
+    return _scored(_by_question(spark, sf))
+
+
+def _scored(each: DataFrame) -> DataFrame:
+    return each.select("query_id", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"), F.col("keywords_found").cast("long").alias("keywords_found"), F.col("total_keywords").cast("long").alias("total_keywords"), F.round("keyword_coverage", 6).alias("keyword_coverage"))
+
+
+@query
+def stream_eval_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as eval_questions from a stream of the questions, each batch evaluated when it comes."""
+    path, folder = f"{sf}/benchmark.parquet", _folder(spark, "stream")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    docs = load(spark, sf, "documents")
+    index = bm25.build(docs)
+
+    def evaluate(batch: DataFrame) -> DataFrame:
+        asked = _asked(batch)
+        found = bm25.topk_of(asked.select("query_id", "text"), index, docs.select("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
+        return evals.report(found, asked.select("query_id", "keywords", F.lit("").alias("category")))["questions"]
+
+    evaluation.evaluated(rows, evaluate, folder).awaitTermination()
+    return _scored(spark.read.parquet(f"{folder}/results"))
 
 
 @query
@@ -344,6 +451,41 @@ def router_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tp", "tn", "fp", "fn", F.round("accuracy", 6).alias("accuracy"), text.seconds(F.col("latency")).alias("latency"))
 
 
+@query
+def router_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row of router_confusion by itself."""
+    docs = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id")
+    route = RuleRouter().route(F.col("text"), F.lit(None))
+    rows = docs.select("doc_id", (F.col("quality") == 1).alias("expected"), route["use_rag"].alias("predicted"), route["rewritten_query"].alias("query"))
+    return evals.routed(rows).select("doc_id", "expected", "predicted", "outcome", "correct", F.md5(F.coalesce("query", F.lit(""))).alias("query_md5"))
+
+
+@query
+def stage_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """Which stages of a batch of chats are timed, and whether their times add up to the whole's and have two digits."""
+    last = Window.partitionBy("conversation_id").orderBy(F.desc("id"))
+    rows = _messages(spark, sf).withColumn("n", F.row_number().over(last))
+    asked = rows.filter("n = 1").select("conversation_id", F.col("content").alias("question"))
+    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), text.chunk_id(F.col("vec_id"), F.lit(0)).alias("chunk_id"))
+    docs = _documents(spark, sf)
+    chunks = docs.select(text.chunk_id(F.col("id"), F.lit(0)).alias("id"), "document_name", "text")
+    took: dict[str, float] = {}
+    size = len(vectors.first()["vector"])
+    chat.chat(asked, rows.filter("n > 1"), vectors, chunks, HashEmbedder(size), OverlapReranker(), RuleRouter(), EchoGenerator(), took)
+    parts = sum(v for k, v in took.items() if k != "total")
+    return spark.createDataFrame([(k, round(v, 2) == v and 0 <= v <= took["total"] + 0.05, parts <= took["total"] + 0.05) for k, v in took.items()], "stage string, fits boolean, add_up boolean")
+
+
+@query
+def chat_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """What the test double says to each conversation's last message without retrieval: its first 200 characters."""
+    last = Window.partitionBy("conversation_id").orderBy(F.desc("id"))
+    rows = _messages(spark, sf).withColumn("n", F.row_number().over(last)).filter("n = 1")
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    said = EchoGenerator().answer(chat.prompt(F.lit(False), none, F.col("content")))
+    return rows.select("conversation_id", said["answer"].alias("answer"), F.size(said["references"]).cast("long").alias("n_references"))
+
+
 @query
 def figure_refs(spark: SparkSession, sf: str) -> DataFrame:
     marked = F.concat(F.lit("See [Figure: img_"), F.col("doc_id").cast("string"), F.lit(".png] and [Figure: "), F.col("source"), F.lit("] but not [Figure: ] "), F.coalesce("text", F.lit("")))
@@ -368,23 +510,185 @@ def chunk_invariants(spark: SparkSession, sf: str) -> DataFrame:
     return _chunked(spark, sf).groupBy("doc_id").agg(F.bool_and(ok).alias("fit"), (F.max("chunk_index") + 1 == F.count("*")).alias("numbered"))
 
 
-def _as_docx(lines: str) -> bytes:
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines.split("\n"))
+def _zipped(body: str, *parts: tuple[str, str | bytes]) -> bytes:
+    names = f'xmlns:w="{docx.W[1:-1]}" xmlns:a="{docx.A[1:-1]}" xmlns:r="{docx.R[1:-1]}" xmlns:v="{docx.V[1:-1]}"'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W[1:-1]}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/document.xml", f"<w:document {names}><w:body>{body}</w:body></w:document>")
+        for name, content in parts:
+            z.writestr(name, content)
     return out.getvalue()
 
 
-@query
-def parse_docx_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as a Word file with a paragraph for each line, parsed again."""
+def _as_docx(lines: str) -> bytes:
+    return _zipped("".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines.split("\n")))
+
+
+def _rich_docx(name: str, number: int, source: str) -> bytes:
+    """A document with tabs, breaks, a link, a table with empty cells and a table inside, content that only the fallback
+    reads, a picture that is used twice, one by the older way, one without an ending, an external one and an unknown one."""
+    n, s = str(number), escape(source or "")
+    t = lambda x: f'<w:t xml:space="preserve">{x}</w:t>'
+    p = lambda *runs: f"<w:p>{''.join(runs)}</w:p>"
+    r = lambda *inside: f"<w:r>{''.join(inside)}</w:r>"
+    cell = lambda *inside: f"<w:tc>{''.join(inside)}</w:tc>"
+    row = lambda *cells: f"<w:tr>{''.join(cells)}</w:tr>"
+    picture = lambda rel, how="embed": f'<w:drawing><a:blip r:{how}="{rel}"/></w:drawing>'
+    inner = f"<w:tbl>{row(cell(p(r(t('in')))), cell(p(r(t(n)))))}</w:tbl>"
+    body = p(r(t(f" doc {n}"), "<w:tab/>", t("after tab"), "<w:br/>", t("after break"), "<w:cr/>", t("end ")))
+    body += p(r(t("see ")), f"<w:hyperlink>{r(t(s), '<w:tab/>')}</w:hyperlink>", f"<w:ins>{r(t('kept'), '<w:tab/>', t('flat'))}</w:ins>")
+    body += f"<w:tbl>{row(cell(p(r(t('a')))), cell(p()), cell(p(r(t(n))), p(r(t('b')))))}{row(cell(p()), cell(p(r(t(' ')))))}{row(cell(inner, p(r(t('z')))))}</w:tbl>"
+    body += f"<w:sdt>{p(r(t('lost')))}</w:sdt>" + p() + p(r(t("before "), picture("r1"), t(" between"), picture("r2", "link")), r(picture("r3")), r(picture("r9")), r(t("after")))
+    body += p(r('<w:pict><v:imagedata r:id="r4"/></w:pict>'), r(picture("r1")))
+    kind = f'Type="{docx.IMAGE_TYPE}"'
+    rels = f'<Relationship Id="r1" {kind} Target="media/one.PNG"/><Relationship Id="r2" {kind} Target="../other/two"/><Relationship Id="r3" {kind} Target="http://x/y.png" TargetMode="External"/><Relationship Id="r4" {kind} Target="media/./old.jpeg"/><Relationship Id="r5" Type="styles" Target="styles.xml"/>'
+    return _zipped(body, ("word/_rels/document.xml.rels", f"<Relationships>{rels}</Relationships>"), ("word/media/one.PNG", b"1" * (number + 1)), ("other/two", (source or "").encode()), ("word/media/old.jpeg", b"old"))
+
+
+def _made_docx(rows: DataFrame, make: Callable[..., bytes]) -> DataFrame:
+    """rows (document_name, ...) to (document_name, content): make of each row's columns, the name first if it takes it."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"document_name": b["name"], "content": b["text"].map(_as_docx)})
+            yield pd.DataFrame({"document_name": b["document_name"], "content": [make(*x) for x in b.itertuples(index=False)]})
+
+    return rows.mapInPandas(made, "document_name string, content binary")
+
+
+def _rich(spark: SparkSession, sf: str) -> DataFrame:
+    return _made_docx(load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_name"), (F.col("doc_id") % 1000).alias("number"), "source"), _rich_docx)
+
+
+@query
+def parse_docx_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a Word file with all that the parser knows: the whole text."""
+    return docx.parsed(_rich(spark, sf)).select(F.col("document_name").cast("long").alias("doc_id"), "text", "error")
+
+
+@query
+def parse_docx_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures of these files, written as files of their own and read again."""
+    parsed, folder = docx.parsed(_rich(spark, sf)), _folder(spark, "figures")
+    tables.export_figures(parsed, folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_0*").load(folder).select(text.basename(F.col("path")).alias("filename"), F.md5("content").alias("md5"))
+    return tables.figures(parsed).join(files, "filename").select("filename", "relationship_id", "source_path", F.col("position").cast("long").alias("position"), "md5")
+
+
+@query
+def broken_docx(spark: SparkSession, sf: str) -> DataFrame:
+    """A file cut at all lengths, what is no file, no document, no XML, and whole ones: a row for each, with an error but for the whole ones."""
+    whole = _zipped("<w:p/>")
+    files = [whole[: len(whole) * k // 20] for k in range(21)] + [whole, None, _zipped("<w:p>"), b"PK", whole.replace(b"word/document.xml", b"word/documents.xm")]
+    rows = docx.parsed(spark.createDataFrame([(str(i), c) for i, c in enumerate(files)], "document_name string, content binary"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("fine"), F.count_if(F.col("text").isNull()).alias("without_text"))
+
+
+@query
+def markdown_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the largest ids' source written as Markdown, a folder for each, and read again."""
+    folder, docs = _folder(spark, "markdown"), load(spark, sf, "documents")
+    parsed = docs.select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document_name"), "text")
+    tables.write_files(parsed.select(F.concat(F.lit("deep/"), "document_name").alias("path"), F.coalesce("text", F.lit("")).alias("content")), folder)
+    return tables.read_markdown(spark, folder).select("document_name", F.md5("text").alias("md5"))
+
 
+@query
+def question_set_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Question sets as JSON Lines, written and read with their schemas."""
+    folder, asked = _folder(spark, "questions"), _questions(spark, sf)
+    asked.select(F.col("text").alias("question"), "keywords", F.concat(F.lit("It is: "), "text").alias("reference_answer"), (F.col("query_id") % 4).cast("string").alias("category"), F.lit(1).alias("more")).write.json(folder)
+    asked.select(F.col("text").alias("question"), F.lit("").alias("history"), (F.col("query_id") % 2 == 0).alias("expected_use_rag")).write.json(f"{folder}-router")
+    first, second = tables.read_questions(spark, folder), tables.read_router_set(spark, f"{folder}-router")
+    both = first.join(second.dropDuplicates(), "question").dropDuplicates()
+    return both.select("question", F.array_join("keywords", ",").alias("keywords"), F.md5("reference_answer").alias("answer_md5"), "category", "history", "expected_use_rag")
+
+
+@query
+def conversation_set_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as files with one JSON array each."""
+    folder = _folder(spark, "sets")
+    rows = _messages(spark, sf).groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("id", "content"))).alias("m"))
+    made = rows.select(F.col("conversation_id").cast("string").alias("id"), (F.col("conversation_id") % 3).cast("string").alias("category"), F.transform("m", lambda x: x["content"]).alias("questions"))
+    blocks = made.groupBy((F.col("id").cast("long") % 8).alias("block")).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("all"))
+    tables.write_files(blocks.select(F.concat(F.col("block").cast("string"), F.lit(".json")).alias("path"), F.to_json("all").alias("content")), folder)
+    return tables.read_conversation_set(spark, folder).select("id", "category", F.size("questions").cast("long").alias("n"), F.md5(F.array_join("questions", "|")).alias("md5"))
+
+
+@query
+def create_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection made twice, filled in between; the second time changes nothing."""
+    path = f"{_folder(spark, 'collection')}/vectors"
+    rows = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("document_id"), F.lit("").alias("chunk_id"))
+    tables.create_table(spark, path, schema.VECTOR)
+    before = spark.read.parquet(path).count()
+    tables.append(rows, path, schema.VECTOR)
+    tables.create_table(spark, path, schema.VECTOR)
+    return spark.read.parquet(path).agg(F.lit(before).cast("long").alias("before"), F.count("*").alias("points"), F.countDistinct("document_id").alias("documents"))
+
+
+def _library(spark: SparkSession, sf: str) -> tuple[Library, Uploaded]:
+    """A library of all documents as Word files with their first figure, and of one file that isn't a document."""
+    root = _folder(spark, "library")
+    docs = load(spark, sf, "documents").select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("document_name"), (F.col("doc_id") % 1000).alias("number"), "source")
+    files = _made_docx(docs, _rich_docx).unionByName(spark.createDataFrame([("broken.docx", b"broken")], "document_name string, content binary"))
+    tables.write_files(files.select(F.concat(F.lit("in/"), "document_name").alias("path"), "content"), root)
+    out = Library(spark, f"{root}/library", HashEmbedder(16), OverlapReranker(), RuleRouter(), EchoGenerator())
+    return out, out.upload(f"{root}/in")
+
+
+@query
+def library_upload(spark: SparkSession, sf: str) -> DataFrame:
+    """What an upload says that it has written, against what is there."""
+    out, said = _library(spark, sf)
+    there = lambda name: F.lit(out.table(name).count())
+    error = said.errors.select("document_name", F.col("error").isNotNull().alias("error"))
+    return error.select("document_name", "error", F.lit(said.documents).cast("long").alias("documents"), F.lit(said.images).cast("long").alias("images"), F.lit(said.chunks).cast("long").alias("chunks"), F.lit(said.vectors).cast("long").alias("vectors"), *[there(n).cast("long").alias(f"{n}_there") for n in ("documents", "images", "chunks", "vectors", "files")], F.lit(out.health()["status"]).alias("health"))
+
+
+@query
+def library_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, search, one file as it was uploaded, one image."""
+    out, _ = _library(spark, sf)
+    page, total = out.documents(2, 5)
+    hits, found = out.search("SRC3_", 1, 4)
+    one = out.table("documents").filter("document_name = 'src3_3.docx'").first()["id"]
+    name, content = out.download(one).first()
+    text_ = docx.parse(name, bytes(content))["text"].split("\n")[0]
+    image = out.image("src3_3.docx_000001.png").first()["content"]
+    rows = page.select(F.lit("page").alias("what"), "document_name", F.lit(total).cast("long").alias("n")).unionByName(hits.select(F.lit("search").alias("what"), "document_name", F.lit(found).cast("long").alias("n")))
+    return rows.unionByName(spark.createDataFrame([("download", f"{name}|{text_}", 1), ("image", bytes(image).decode(), 1)], rows.schema))
+
+
+@query
+def library_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """One document deleted, then what no version needs: rows that are left, and folders on disk."""
+    out, _ = _library(spark, sf)
+    out.delete_document(out.table("documents").filter("document_name = 'src3_3.docx'").first()["id"])
+    gone = out.vacuum()
+    lone = out.table("images").join(out.table("documents").select(F.col("id").alias("document_id")), "document_id", "left_anti").count()
+    rows = [(name, out.table(name).count()) for name in ("documents", "files", "images")]
+    return spark.createDataFrame([*rows, ("lone images", lone), ("folders gone", gone)], "what string, n long")
+
+
+@query
+def library_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """A question without retrieval from every conversation: answers, a second question, renaming, deletion."""
+    asked = [r[0] for r in load(spark, sf, "benchmark").select("item_id").orderBy("item_id").collect()]
+    out = Library(spark, f"{_folder(spark, 'library')}/library", HashEmbedder(16), OverlapReranker(), RuleRouter(), EchoGenerator())
+    numbers = [r.conversation_id for r in out.chat([(None, f"hello {i}") for i in asked]).orderBy("conversation_id").collect()]
+    out.chat([(n, "thanks a lot") for n in numbers[1:]])
+    out.rename(numbers[1], "  renamed ")
+    out.delete_conversation(numbers[2])
+    one = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
+    m = out.table("messages").groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("id", "role", "content"))).alias("m"))
+    listed = out.conversations().select(F.col("id").alias("conversation_id"), "title")
+    return listed.join(m, "conversation_id").select("conversation_id", "title", one.alias("messages"))
+
+
+@query
+def parse_docx_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a Word file with a paragraph for each line, parsed again."""
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", "")
-    rows = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), clean.alias("text"))
-    parsed = docx.parsed(rows.mapInPandas(made, "document_name string, content binary"))
+    rows = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_name"), clean.alias("text"))
+    parsed = docx.parsed(_made_docx(rows, lambda _, lines: _as_docx(lines)))
     return parsed.select(F.col("document_name").cast("long").alias("doc_id"), F.md5("text").alias("md5"), F.size("images").cast("long").alias("n_images"))

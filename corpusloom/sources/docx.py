@@ -108,28 +108,34 @@ def _blocks(parent: ElementTree.Element, package: Package) -> Iterator[str]:
 
 
 def parse(name: str, content: bytes) -> dict:
-    """One document's row; what is not a readable document has a null text and an error."""
+    """One document's row; what is not a readable document, for whatever reason, has a null text and an error."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as file:
             package = Package(name, file)
             body = ElementTree.fromstring(file.read("word/document.xml")).find(W + "body")
             text = "\n\n".join(_blocks(body, package)) if body is not None else ""
             return {"document_name": name, "text": text, "images": package.figures, "error": None}
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+    # Files come from anywhere: corrupt streams, passwords and unknown compression raise what the libraries below raise.
+    except Exception as e:  # noqa: BLE001
         return {"document_name": name, "text": None, "images": [], "error": f"{type(e).__name__}: {e}"}
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """files (document_name, content) to rows of PARSED_DOCX, a row for each file."""
+def parsed(found: DataFrame) -> DataFrame:
+    """found (document_name, content) to rows of PARSED_DOCX, a row for each file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([parse(n, bytes(c)) for n, c in zip(batch["document_name"], batch["content"])], columns=PARSED_DOCX.names)
+            yield pd.DataFrame([parse(n, bytes(c or b"")) for n, c in zip(batch["document_name"], batch["content"])], columns=PARSED_DOCX.names)
 
-    return files.select("document_name", "content").mapInPandas(run, PARSED_DOCX)
+    return found.select("document_name", "content").mapInPandas(run, PARSED_DOCX)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(document_name, content) of all .docx files at path, a folder or a glob; folders are searched to any depth."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("document_name"), "content")
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """All .docx files at path, a folder or a glob; folders are searched to any depth."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
-    return parsed(files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("document_name"), "content"))
+    """All .docx files at path, parsed."""
+    return parsed(files(spark, path))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import schema
 from corpusloom.functions import text
+from corpusloom.operators.bm25 import Index
+from corpusloom.sources.shared import settled
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,11 +77,42 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return both.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n", "__age")
 
 
-def save_index(postings: DataFrame, terms: DataFrame, path: str) -> None:
+def save_index(index: Index, path: str) -> None:
     """A lexical index as Parquet; postings lie by term, so a query's scan skips most row groups."""
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.terms.sparkSession.createDataFrame([(index.n_docs, index.avgdl)], "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    stats = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), stats["n_docs"], stats["avgdl"])
+
+
+def write_files(files: DataFrame, folder: str, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """Writes each row's bytes to folder/path and gives (path, bytes) back; executors write, to any store of pyarrow.fs.
+
+    A file is written under another name first and then moved, so that a task that runs again leaves no half of one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, content in zip(names, batch.column(1)):
+                target, raw = f"{root}/{name}", content.as_py() or b""
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(raw)
+                store.move(part, target)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    written = files.select(F.col(path_col).cast("string"), F.col(content_col).cast("binary")).mapInArrow(run, "path string, bytes long")
+    return settled(written)
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+def export_figures(parsed: DataFrame, folder: str) -> DataFrame:
+    """The figures of parsed documents as files of their own: (path, bytes)."""
+    return write_files(figures(parsed), folder, "filename", "content")

@@ -92,6 +92,24 @@ def test_no_relationships_no_body():
     assert docx.parse("d", b"nonsense")["text"] is None
 
 
+def test_broken_in_all_ways():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, zipfile.ZipFile(io.BytesIO(made(p(t("a" * 5000))))) as plain:
+        z.writestr("word/document.xml", plain.read("word/document.xml"))
+    whole = out.getvalue()
+    at = whole.index(b"word/document.xml") + len(b"word/document.xml")
+    corrupt = whole[: at + 5] + bytes(x ^ 0x55 for x in whole[at + 5 : at + 15]) + whole[at + 15 :]
+    locked, odd = bytearray(whole), bytearray(whole)
+    for sign, flag, method in ((b"PK\x03\x04", 6, 8), (b"PK\x01\x02", 8, 10)):
+        where = whole.rindex(sign)
+        locked[where + flag] |= 1
+        odd[where + method] = 99
+    for content in (corrupt, bytes(locked), bytes(odd), b"", whole[:-30]):
+        row = docx.parse("d", content)
+        assert row["error"] and row["text"] is None and row["images"] == []
+    assert docx.parse("d", whole)["error"] is None
+
+
 def test_files_and_figures(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.docx").write_bytes(made(p(t("a"), blip("r1")), REL.format("r1", "media/a.png", ""), [("word/media/a.png", b"png")]))
@@ -103,6 +121,8 @@ def test_files_and_figures(spark, tmp_path):
     figures = tables.figures(rows)
     assert [bytes(r.content) for r in tables.read_figure(figures, "a.docx_000001.png").collect()] == [b"png"]
     assert tables.read_figure(figures, "none").collect() == []
+    assert [tuple(r) for r in tables.export_figures(rows, str(tmp_path / "figures")).collect()] == [("a.docx_000001.png", 3)]
+    assert (tmp_path / "figures" / "a.docx_000001.png").read_bytes() == b"png"
     tables.write_markdown(rows, str(tmp_path / "md"))
     assert spark.read.text(str(tmp_path / "md"), wholetext=True).count() == 1
 

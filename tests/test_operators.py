@@ -33,13 +33,26 @@ def test_bm25_with_repeats_unknown_words_and_no_match(spark):
 
 
 def test_index_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "x y x"), ("b", "y")], "chunk_id string, text string")
-    post = bm25.postings(docs, "chunk_id")
-    terms = bm25.term_stats(post, bm25.corpus_stats(docs))
-    tables.save_index(post, terms, str(tmp_path))
-    p2, t2 = tables.load_index(spark, str(tmp_path))
-    assert p2.exceptAll(post).count() == 0 and t2.count() == 2
-    assert set(p2.columns) == set(schema.POSTING.names) and set(t2.columns) == set(schema.TERM.names)
+    docs = spark.createDataFrame([("a", "x y x"), ("b", "y"), ("c", None)], "chunk_id string, text string")
+    index = bm25.build(docs, "chunk_id")
+    tables.save_index(index, str(tmp_path))
+    again = tables.load_index(spark, str(tmp_path))
+    assert (again.n_docs, again.avgdl) == (index.n_docs, index.avgdl) == (3, 4 / 3)
+    assert again.postings.exceptAll(index.postings).count() == 0 and again.terms.count() == 2
+    assert set(again.postings.columns) == set(schema.POSTING.names) and set(again.terms.columns) == set(schema.TERM.names)
+    assert bm25.build(docs.limit(0), "chunk_id").avgdl == 0
+
+
+def test_knn_of_unlike_sizes_and_by_shares(spark, monkeypatch):
+    rows = [(i, [math.cos(i), math.sin(i)]) for i in range(50)] + [(60, [1.0]), (61, []), (62, [None, 1.0]), (63, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, [2.0]), (7, [1.0, 0.0, 0.0]), (6, None)], "query_id long, vector array<double>")
+    got = sorted(map(tuple, vector.knn_batch(asked, table, 3).collect()))
+    assert [r[:3] for r in got if r[0] == 8] == [(8, 1, 60)] and {r[0] for r in got} == {8, 9}
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, vector.knn_batch(asked, table, 3).collect())) == got
+    odd = vector.knn_batch(asked, table, 3, where=F.col("vec_id") % 2 == 1).collect()
+    assert {r.vec_id % 2 for r in odd} == {1} and len(odd) == 3
 
 
 def test_knn_forms_agree(spark):
