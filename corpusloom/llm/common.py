@@ -21,6 +21,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def placed(df: DataFrame, n: int, key: str, *order: str) -> DataFrame:
+    """df settled in n partitions by key, sorted by key and order, so that what joins it by key later moves to it.
+
+    A plan's partitioning outlives a checkpoint only if the plan is not adaptive, so this one is planned without.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(n, key).sortWithinPartitions(key, *order).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for data of about df's size: what the session asks for, or df's own count if that is higher."""
     spark = df.sparkSession

@@ -4,42 +4,51 @@ A byte goes if a string of 100 bytes that covers it also starts earlier in the c
 
 Anchors bring together what may be equal. Of the hashes of all 24-byte strings in a window of 100 bytes, the smallest,
 leftmost first, is the window's anchor; it depends on the window's bytes alone, so equal windows have equal anchors at
-equal offsets. Chunks (chunks.py) ask each other which anchors occur more than once, and send the windows at such
-anchors as contexts: the bytes round one anchor, some 150 of them, that hold all windows which it anchors.
-
-A context that is the same in several places is one text with the place of its first occurrence; it is all earlier text
-to its other occurrences. Contexts of one anchor that differ are matched through a run-length index: a Burrows-Wheeler
-transform of the older contexts, kept as runs, with the text place of each run's two ends. Every younger context is
-streamed against it from right to left; where its next byte isn't that of the run it stands in, it moves to the end of
-a neighbouring run, the one whose text agrees for longer. This gives matching statistics, the length of the longest
-match at each place, and a window whose match is 100 bytes or longer starts earlier. Older and younger is settled by
-the bits of a context's number in order of age: each level of bits is one index, in which the contexts that differ in
-higher bits have alphabets of their own.
-
-An anchor that is frequent in a chunk, or in many chunks, may be in any share of the corpus, mostly with other bytes
-round it each time. Its windows are therefore first asked about one by one, by their own hashes, and only those that occur more than
-once become contexts; what is left of them is the same text in place after place.
+equal offsets. Groups of chunks (chunks.py) ask each other which anchors occur more than once, and send the windows at
+such anchors as contexts: the bytes round one anchor, some 150 of them, that hold all windows which it anchors.
+
+What decides is a run-length index of older contexts: their Burrows-Wheeler transform, kept as runs, with the text
+place of each run's two ends. Contexts that are the same bytes are copies of one text of the index, which its runs
+count; they make runs longer and not more. Every younger context is streamed against the index from right to left;
+where its next byte isn't that of the run it stands in, it moves to the end of a neighbouring run, the one whose text
+agrees for longer. This gives matching statistics, the length of the longest match at each place, and a window whose
+match is 100 bytes or longer starts earlier. Older and younger is settled in levels: all copies of a context are
+streamed against an index of those that came first, and contexts that differ, by the bits of their number in order of
+age: each level of bits is one index, in which the contexts that differ in higher bits have alphabets of their own.
+
+An anchor that is frequent in a group, or in many chunks, may be in any share of the corpus, mostly with other bytes
+round it each time. Its windows are asked about one by one, by their own hashes, and those that occur once are left
+out; what stays is cut by offsets to the anchor into parts of 11 windows, which are contexts of the 90 bytes that
+they share. Where even these are frequent but a window isn't, the window is a context by itself. So what meets under
+one key is bounded but for windows which themselves are that frequent, and these differ little. If more than
+MANY contexts that differ meet nevertheless, they are cut into their windows before they are indexed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chunks import Chunk, answered, asked, finished, found, joined, mixed, pack, squeezed, steps, told
+from corpusloom.llm.chunks import Chunk, Group, answered, asked, bucketed, by_group, found, mixed, pack, worked
 from corpusloom.llm.common import partitions, settled
 
 LENGTH, ANCHOR = 100, 24
-#: An anchor is frequent if a chunk has it so often, or so many chunks have it; others have fewer than HOT * WIDE contexts.
+#: A hash is frequent if a group has it so often, or so many chunks have it; others have fewer than HOT * WIDE contexts.
 HOT, WIDE = 32, 64
-#: Bytes of contexts that one index takes at once.
-INDEX_BYTES = 1 << 20
-#: Bytes of a chunk, and of it at once; smaller than what chunks.py takes, for there are more numbers to a byte here.
-CHUNK_BYTES, _PIECE, _PLACE_BITS = 2 << 20, 1 << 15, 20
+#: Windows of a part; the 77 offsets of a window to its anchor are 7 parts.
+PART = 11
+#: Bytes of contexts that one index takes at once, and contexts of one key at most that enter it uncut.
+INDEX_BYTES, MANY = 1 << 20, 256
+#: Bytes of a chunk, of a group, and of a chunk at once; smaller than what chunks.py takes, for there are more numbers to a byte here.
+CHUNK_BYTES, GROUP_BYTES, _PIECE, _PLACE_BITS = 2 << 20, 16 << 20, 1 << 15, 20
+# Kinds of answers, and where in a place the number of the chunk starts.
+ANCHORS, WINDOWS, OLDER = range(3)
+_CHUNK = 32
 _TABLE = np.random.default_rng(29).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x5851F42D4C957F2D
 
@@ -118,52 +127,45 @@ def _keep(bits: int) -> np.uint64:
     return ~np.uint64((1 << (64 - bits)) - 1)
 
 
-def _parted(number: int, buckets: int, hashes: np.ndarray, values: list[np.ndarray], lengths: np.ndarray | None = None, data: np.ndarray | None = None) -> pa.RecordBatch:
-    """Questions by bucket; data: bytes that belong to the hashes, lengths of them each."""
-    own = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64)).tolist()
-    ends = [0, *np.cumsum(lengths, dtype=np.int64).tolist()] if lengths is not None else None
-    rows = []
-    for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if s < e:
-            more = [lengths[s:e], data[ends[s] : ends[e]]] if lengths is not None else []
-            rows.append((b, squeezed(steps(hashes[s:e]), *(v[s:e] for v in values), *more)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "chunk", "data"]
-    )
+def _tally(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct h, sorted; whether each occurs more than once (1) and frequently (2); that one chunk has it."""
+    h, count = np.unique(h, return_counts=True)
+    return h, ((count > 1) + 2 * (count >= HOT)).astype(np.uint8), np.ones(len(h), np.uint8)
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct h, sorted, and how often each occurs."""
-    return np.unique(h, return_counts=True)
+def _together(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tallies of several chunks in one."""
+    h, flags, chunks = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), *[np.zeros(0, np.uint8)] * 2), *parts))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    if not len(h):
+        return h, flags, chunks
+    n = np.minimum(np.add.reduceat(chunks[order].astype(np.int64), new), 255).astype(np.uint8)
+    return h[new], np.bitwise_or.reduceat(flags[order], new) | (n > 1), n
 
 
 def _ask_anchors(bits: int, buckets: int):
-    def ask(chunk: Chunk, _: list) -> Iterator[pa.RecordBatch]:
-        runs = Anchored(chunk)
-        h, count = _distinct(runs.anchor & _keep(bits))
-        yield _parted(chunk.number, buckets, h, [((count > 1) + 2 * (count >= HOT)).astype(np.uint8)])
+    def ask(group: Group) -> Iterator[pa.RecordBatch]:
+        yield bucketed(group.number, buckets, *_together([_tally(Anchored(chunk).anchor & _keep(bits)) for _, chunk in group.chunks()]))
 
     return ask
 
 
-def _answer_repeats(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """To each chunk its hashes that occur more than once anywhere, and whether they are frequent."""
-    order = np.lexsort((senders, hashes))
-    h, s, v = hashes[order], senders[order], values[0][order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.append(new, len(h)))
-    flags = np.bitwise_or.reduceat(v, new)
-    good = np.repeat((size > 1) | (flags & 1 > 0), size)
-    yield from _by_sender(s[good], h[good], np.repeat((flags >> 1) | (size >= WIDE), size)[good].astype(np.uint8))
+def _answer_repeats(kind: int):
+    """To each group its hashes that occur more than once anywhere, and whether they are frequent."""
 
+    def answer(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((senders, hashes))
+        h, s, v, n = hashes[order], senders[order], values[0][order], values[1][order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(new, len(h)))
+        flags = np.bitwise_or.reduceat(v, new)
+        good = np.repeat((size > 1) | (flags & 1 > 0), size)
+        frequent = (flags >> 1 & 1 > 0) | (np.add.reduceat(n.astype(np.int64), new) >= WIDE)
+        yield from by_group(s[good], kind, h[good], np.repeat(frequent, size)[good].astype(np.uint8))
 
-def _by_sender(senders: np.ndarray, hashes: np.ndarray, *values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    order = np.lexsort((hashes, senders))
-    senders = senders[order]
-    cuts = np.flatnonzero(np.concatenate([[True], senders[1:] != senders[:-1]])).tolist() if len(senders) else []
-    for a, b in zip(cuts, [*cuts[1:], len(senders)]):
-        yield int(senders[a]), hashes[order[a:b]], *(v[order[a:b]] for v in values)
+    return answer
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,86 +174,107 @@ def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which], which
 
 
+def _hashes(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the strings of n bytes at places in rising order; data is worked through in pieces."""
+    out = [np.zeros(0, np.uint64)]
+    edges = np.searchsorted(at, np.arange(0, len(data) + _PIECE, _PIECE)).tolist()
+    for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+        if i < j:
+            s = k * _PIECE
+            out.append(strings(data[s : s + _PIECE + n - 1], n)[at[i:j] - s])
+    return np.concatenate(out)
+
+
+class Frequent:
+    """A chunk's windows at frequent anchors: their places, own hashes, parts and parts' hashes."""
+
+    def __init__(self, data: np.ndarray, runs: Anchored, hot: np.ndarray, bits: int):
+        order = np.flatnonzero(hot)
+        self.at, which = _spread(runs.start[order], runs.size[order])
+        run = order[which]
+        self.own = _hashes(data, self.at, LENGTH) & _keep(bits)
+        # Windows of a part have their anchors from first to first + 10 bytes after their starts; all hold these 90 bytes.
+        first = (runs.place[run] - self.at) // PART * PART
+        shared = runs.place[run] - first
+        new = np.ones(len(self.at), bool)
+        new[1:] = (run[1:] != run[:-1]) | (first[1:] != first[:-1])
+        self.part = np.cumsum(new) - 1
+        place, back = np.unique(shared[new], return_inverse=True)
+        keys = mixed(_hashes(data, place, LENGTH - PART + 1)[back] + (first[new] // PART).astype(np.uint64))
+        self.key = (keys & _keep(bits))[self.part] if len(keys) else keys
+        self.once = new
+
+
 def _ask_frequent(bits: int, buckets: int):
-    """Windows at frequent anchors, by their own hashes."""
+    """Windows at frequent anchors and their parts, by their own hashes."""
 
-    def ask(chunk: Chunk, answers: list) -> Iterator[pa.RecordBatch]:
-        known, frequent = joined(answers, 2)
-        if not frequent.any():
+    def ask(group: Group) -> Iterator[pa.RecordBatch]:
+        known, frequent = group.answers(ANCHORS, 2)
+        hot, parts = known[frequent > 0], []
+        if not len(hot):
             return
-        runs = Anchored(chunk)
-        hot = found(known[frequent > 0], runs.anchor & _keep(bits))[1]
-        parts = [_distinct(h & _keep(bits)) for _, _, h in _windows(chunk.data, runs.start[hot], runs.size[hot])]
-        h, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count = np.bincount(back, np.concatenate([p[1] for p in parts]), len(h))
-        yield _parted(chunk.number, buckets, h, [(count > 1).astype(np.uint8)])
+        for _, chunk in group.chunks():
+            runs = Anchored(chunk)
+            f = Frequent(chunk.data, runs, found(hot, runs.anchor & _keep(bits))[1], bits)
+            parts.append(_together([_tally(f.own), _tally(f.key[f.once])])[:2])
+            parts[-1] = (*parts[-1], np.ones(len(parts[-1][0]), np.uint8))
+        yield bucketed(group.number, buckets, *_together(parts))
 
     return ask
 
 
-def _windows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The windows of runs in order, some hundred thousand at once: their places, their runs, their own hashes."""
-    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _PIECE)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
-        at, which = _spread(start[a:b], size[a:b])
-        out = [np.zeros(0, np.uint64)]
-        for s in range(int(at[0]), int(at[-1]) + 1, _PIECE) if len(at) else ():
-            e = min(s + _PIECE, int(at[-1]) + 1)
-            i, j = np.searchsorted(at, [s, e])
-            if i < j:
-                out.append(strings(data[s : e + LENGTH - 1], LENGTH)[at[i:j] - s])
-        yield at, which + a, np.concatenate(out)
-
-
-class Contexts:
-    """The contexts of a chunk whose windows may occur elsewhere; of equal ones only the first is sent."""
-
-    def __init__(self, chunk: Chunk, answers: list, bits: int):
-        # Answers about anchors have two arrays, those about windows at frequent ones three.
-        known, frequent = joined([a for a in answers if len(a) == 2], 2)
-        repeated = joined([a for a in answers if len(a) == 3], 3)[0]
-        runs = Anchored(chunk)
-        at, there = found(known, runs.anchor & _keep(bits))
-        hot = there & (frequent[at] > 0) if len(known) else there
-        which = np.flatnonzero(there & ~hot)
-        start, size = runs.start[which], runs.size[which]
-        if hot.any():
-            # What is left of a run may fall apart; each part is a context of its own.
-            runs_of = np.flatnonzero(hot)
-            for windows, of, h in _windows(chunk.data, runs.start[hot], runs.size[hot]):
-                good = found(repeated, h & _keep(bits))[1]
-                windows, of = windows[good], runs_of[of[good]]
-                new = np.ones(len(windows), bool)
-                new[1:] = (of[1:] != of[:-1]) | (windows[1:] != windows[:-1] + 1)
-                first = np.flatnonzero(new)
-                start, size = np.concatenate([start, windows[first]]), np.concatenate([size, np.diff(np.append(first, len(windows)))])
-                which = np.concatenate([which, of[first]])
-        anchor, place, doc = runs.anchor[which], runs.place[which], runs.doc[which]
-        ids = np.where(chunk.known, chunk.ids, np.iinfo(np.int64).max)[doc]
-        order = np.lexsort((start, ids, anchor))
-        seen: dict[tuple[int, int, bytes], None] = {}
-        raw, keep = chunk.data.tobytes(), []
-        for a, o, s, e in zip(anchor[order].tolist(), (place - start)[order].tolist(), start[order].tolist(), (start + size + LENGTH - 1)[order].tolist()):
-            key = (a, o, raw[s:e])
-            keep.append(key not in seen)
-            seen[key] = None
-        keep = np.array(keep, bool)
-        self.again = np.sort(order[~keep])
-        self.start, self.size = start, size
-        self.first = order[keep]
-        self.anchor, self.ids = anchor, ids
-        self.data = [k[2] for k in seen]
+def _contexts(chunk: Chunk, group: Group, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, starts and numbers of windows of the chunk's contexts that may occur elsewhere."""
+    known, frequent = group.answers(ANCHORS, 2)
+    repeated, often = group.answers(WINDOWS, 2)
+    runs = Anchored(chunk)
+    at, there = found(known, runs.anchor & _keep(bits))
+    hot = there & (frequent[at] > 0) if len(known) else there
+    plain = np.flatnonzero(there & ~hot)
+    key, start, size = runs.anchor[plain], runs.start[plain], runs.size[plain]
+    if hot.any():
+        f = Frequent(chunk.data, runs, hot, bits)
+        i, twice = found(repeated, f.own)
+        j, part = found(repeated, f.key)
+        alone = twice & part & (often[j] > 0) & (often[i] == 0) if len(repeated) else twice
+        good = np.flatnonzero(twice)
+        # Windows in a row that share a part and stay in it are a context, and so is each one that stands alone.
+        new = np.ones(len(good), bool)
+        new[1:] = (f.part[good][1:] != f.part[good][:-1]) | (np.diff(f.at[good]) != 1) | alone[good][1:] | alone[good][:-1]
+        first = good[new]
+        key = np.concatenate([key, np.where(alone[first], f.own[first], f.key[first])])
+        start, size = np.concatenate([start, f.at[first]]), np.concatenate([size, np.diff(np.append(np.flatnonzero(new), len(good)))])
+    return key, start, size
 
 
 def _ask_contexts(bits: int, buckets: int):
-    def ask(chunk: Chunk, answers: list) -> Iterator[pa.RecordBatch]:
-        c = Contexts(chunk, answers, bits)
-        f = c.first
-        lengths = (c.size[f] + LENGTH - 1).astype(np.uint16)
-        yield _parted(chunk.number, buckets, c.anchor[f], [c.start[f], c.ids[f]], lengths, np.frombuffer(b"".join(c.data), np.uint8))
-        if len(c.again):
-            again = c.again[np.argsort(c.start[c.again])]
-            yield told(chunk.number, c.start[again].astype(np.uint64), c.size[again].astype(np.int64))
+    """Contexts by their keys, oldest first; bytes that a group has several times under a key are sent once."""
+
+    def ask(group: Group) -> Iterator[pa.RecordBatch]:
+        keys, places, ids, texts, raw = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        seen: dict[tuple[int, bytes], int] = {}
+        for k, chunk in group.chunks():
+            key, start, size = _contexts(chunk, group, bits)
+            data = chunk.data.tobytes()
+            number = np.empty(len(key), np.int64)
+            for n, (h, s, e) in enumerate(zip(key.tolist(), start.tolist(), (start + size + LENGTH - 1).tolist())):
+                number[n] = text = seen.setdefault((h, data[s:e]), len(seen))
+                if text == len(raw):
+                    raw.append(data[s:e])
+            doc = np.searchsorted(chunk.starts, start, "right") - 1
+            keys.append(key)
+            places.append(start + (k << _CHUNK))
+            ids.append(np.where(chunk.known, chunk.ids, np.iinfo(np.int64).max)[doc])
+            texts.append(number)
+        key, place, id_, text = (np.concatenate(x) for x in (keys, places, ids, texts))
+        order = np.lexsort((place, text, key))
+        text = text[order]
+        # Entries with bytes come before the copies of these bytes, which have none.
+        new = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
+        lengths = np.zeros(len(text), np.uint16)
+        lengths[new] = [len(raw[t]) for t in text[new].tolist()]
+        bytes_ = np.frombuffer(b"".join([raw[t] for t in text[new].tolist()]), np.uint8)
+        yield bucketed(group.number, buckets, key[order], place[order], id_[order], lengths=lengths, data=bytes_)
 
     return ask
 
@@ -260,10 +283,11 @@ class RunIndex:
     """The run-compressed Burrows-Wheeler transform of a text of symbols, with the text places of both ends of its runs.
 
     Texts end in symbols that occur once. rank[k] numbers the strings of 2 ** k symbols at each place in their order;
-    the last numbers all rotations, and pairs of places are compared through them.
+    the last numbers all rotations, and pairs of places are compared through them. copies: how many equal texts each
+    place of the text stands for; their rows lie next to each other, so they lengthen the runs that one of them has.
     """
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, copies: np.ndarray | None = None):
         n = self.n = len(text)
         self.symbols, rank = np.unique(text, return_inverse=True)
         codes, self.rank = rank, [rank.astype(np.int32)]
@@ -278,10 +302,13 @@ class RunIndex:
         suffixes = np.empty(n, np.int64)
         suffixes[rank] = np.arange(n)
         before = codes[suffixes - 1]
-        self.start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        self.end = np.append(self.start[1:], n) - 1
-        self.symbol = before[self.start]
-        self.place_start, self.place_end = suffixes[self.start], suffixes[self.end]
+        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        last = np.append(first[1:], n) - 1
+        self.symbol = before[first]
+        self.place_start, self.place_end = suffixes[first], suffixes[last]
+        rows = np.cumsum(np.ones(n, np.int64) if copies is None else copies[suffixes])
+        self.end = rows[last] - 1
+        self.start = np.append(0, self.end[:-1] + 1)
         runs = len(self.start)
         order = np.argsort(self.symbol, kind="stable")
         size = (self.end - self.start + 1)[order]
@@ -335,89 +362,164 @@ class RunIndex:
         return out
 
 
-def older_matches(data: list[bytes], group: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
-    """For each window of each context, whether an older context of its group holds it; number: by age within the group."""
+def _matched(data: list[bytes], older: np.ndarray, younger: np.ndarray, block: np.ndarray, copies: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the younger texts, which of its windows one of the older texts of its block holds."""
+    _, block = np.unique(block, return_inverse=True)
+    ends = len(older)  # symbols 0 .. ends - 1 end a text each
+
+    def coded(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(data[k]) for k in which], np.int64)
+        raw = np.frombuffer(b"".join([data[k] for k in which]), np.uint8)
+        return raw.astype(np.int64) + 256 * np.repeat(block[which], lengths) + ends, lengths
+
+    text, lengths = coded(older)
+    at = np.cumsum(lengths)
+    index = RunIndex(np.insert(text, at, np.arange(ends)), np.insert(np.repeat(copies[older], lengths), at, copies[older]))
+    symbols, lengths = coded(younger)
+    first = np.cumsum(lengths) - lengths
+    long = index.statistics(symbols, first, lengths) >= LENGTH
+    for k, s, n in zip(younger.tolist(), first.tolist(), lengths.tolist()):
+        yield k, long[s : s + max(0, n - LENGTH + 1)]
+
+
+def older_matches(data: list[bytes], group: np.ndarray, number: np.ndarray, copies: np.ndarray) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
+    """Windows of contexts that an older context of their group holds.
+
+    data: contexts that differ within a group; number: by the age of the first copy, within the group; copies: how many
+    there are. Gives the windows of the later copies, by context, and those of each context's first copy.
+    """
+    later: dict[int, np.ndarray] = {}
     starts = [np.zeros(max(0, len(d) - LENGTH + 1), bool) for d in data]
+    several = np.flatnonzero(copies > 1)
+    if len(several):
+        later = dict(_matched(data, several, several, group, copies))
     bit = 0
-    while (int(number.max()) >> bit) > 0:
+    while len(number) and (int(number.max()) >> bit) > 0:
         block = group * (int(number.max() >> (bit + 1)) + 1) + (number >> (bit + 1))
         young = number >> bit & 1 == 1
         old = ~young & np.isin(block, block[young])
-        _, block = np.unique(block, return_inverse=True)
-        index, patterns = np.flatnonzero(old), np.flatnonzero(young)
-        ends = len(index)  # symbols 0 .. ends - 1 end a text each
-
-        def coded(which: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray]:
-            lengths = np.array([len(data[k]) for k in which], np.int64)
-            raw = np.frombuffer(b"".join([data[k] for k in which]), np.uint8)
-            out = raw.astype(np.int64) + 256 * np.repeat(block[which], lengths) + ends  # noqa: B023
-            return (np.insert(out, np.cumsum(lengths), np.arange(len(which))) if end else out), lengths
-
-        text, _ = coded(index, True)
-        symbols, lengths = coded(patterns, False)
-        first = np.cumsum(lengths) - lengths
-        long = RunIndex(text).statistics(symbols, first, lengths) >= LENGTH
-        for k, s in zip(patterns.tolist(), first.tolist()):
-            starts[k] |= long[s : s + len(starts[k])]
+        for k, found_ in _matched(data, np.flatnonzero(old), np.flatnonzero(young), block, copies):
+            starts[k] |= found_
         bit += 1
-    return starts
-
-
-def _answer_contexts(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    start, ids, lengths, raw = values
-    ends = np.cumsum(lengths, dtype=np.int64)
-    order = np.lexsort((start, senders, ids, hashes))
-    text = raw.tobytes()
-    first: dict[tuple[int, bytes], None] = {}
-    gone, kept = [], []  # places in order: all windows have earlier ones; the first of its kind
-    for k, h, a, b in zip(order.tolist(), hashes[order].tolist(), (ends - lengths)[order].tolist(), ends[order].tolist()):
-        key = (h, text[a:b])
-        (gone if key in first else kept).append(k)
-        first[key] = None
-    kept, data = np.array(kept, np.int64), [k[1] for k in first]
-    h = hashes[kept]
-    group_start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.append(group_start, len(h)))
-    out_chunk, out_start, out_size = [senders[gone]], [start[gone]], [lengths[gone].astype(np.int64) - LENGTH + 1]
-    several = np.flatnonzero(size > 1)
-    # Groups are matched by the thousand: as many as make up an index's bytes.
-    weights = np.add.reduceat(lengths[kept].astype(np.int64), group_start)[several]
-    batch = np.cumsum(weights) // INDEX_BYTES
-    for cut in np.split(several, np.flatnonzero(np.diff(batch)) + 1) if len(several) else []:
-        members, group = _spread(group_start[cut], size[cut])
-        number = members - group_start[cut][group]
-        for k, found_ in zip(members.tolist(), older_matches([data[m] for m in members], group, number)):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], found_, [False]]).astype(np.int8)))
-            if len(edge):
-                out_chunk.append(np.full(len(edge) // 2, senders[kept[k]]))
-                out_start.append(start[kept[k]] + edge[::2])
-                out_size.append(edge[1::2] - edge[::2])
-    yield from _by_sender(np.concatenate(out_chunk), np.concatenate(out_start).astype(np.uint64), np.concatenate(out_size).astype(np.int64))
-
-
-def _answer_windows(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    for chunk, h, flag in _answer_repeats(hashes, senders, values):
-        yield chunk, h, flag, flag
-
-
-def _finish(chunk: Chunk, answers: list) -> Iterator[pa.RecordBatch]:
-    at, size = joined(answers, 2)
-    at = at.astype(np.int64)
-    edge = np.zeros(len(chunk.data) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + size + LENGTH - 1, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    n_gone, spans, kept = [], [], []
-    for d in range(len(chunk.ids)):
-        a, b = int(chunk.starts[d]), int(chunk.starts[d + 1]) - 1
-        off = gone[a:b]
-        n_gone.append(int(off.sum()))
-        spans.append(np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8))).tolist() if n_gone[-1] else [])
-        kept.append(chunk.data[a:b][~off].tobytes() if n_gone[-1] else chunk.body(d))
-    sizes = np.diff(chunk.starts) - 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(chunk.ids, mask=~chunk.known), pa.array(sizes, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "edges", "kept"]
-    )
+    return later, starts
+
+
+@dataclass
+class Contexts:
+    """A bucket's contexts in order of age within their key; text: the number of their bytes in data."""
+
+    key: np.ndarray
+    sender: np.ndarray
+    place: np.ndarray
+    age: np.ndarray
+    text: np.ndarray
+    data: list[bytes]
+
+    def sorted(self) -> "Contexts":
+        order = np.lexsort((self.age, self.key))
+        return Contexts(*(x[order] for x in (self.key, self.sender, self.place, self.age, self.text)), self.data)
+
+
+def _read(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Contexts:
+    place, ids, lengths, raw = values
+    own = np.flatnonzero(lengths)
+    ends, text, which, data = np.cumsum(lengths[own], dtype=np.int64), raw.tobytes(), np.empty(len(own), np.int64), []
+    seen: dict[tuple[int, bytes], int] = {}
+    for n, (h, a, b) in enumerate(zip(hashes[own].tolist(), (ends - lengths[own]).tolist(), ends.tolist())):
+        which[n] = k = seen.setdefault((h, text[a:b]), len(data))
+        if k == len(data):
+            data.append(text[a:b])
+    age = np.empty(len(hashes), np.int64)
+    age[np.lexsort((place, senders, ids))] = np.arange(len(hashes))
+    return Contexts(hashes, senders, place, age, which[np.cumsum(lengths > 0) - 1], data).sorted()
+
+
+def _groups(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of c, sorted: the first copy of each text under its key, the copies' number, where keys' texts start and how many they are."""
+    _, first, copies = np.unique(c.text, return_index=True, return_counts=True)
+    order = np.argsort(first, kind="stable")
+    first, copies = first[order], copies[order]
+    key = c.key[first]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return first, copies, start, np.diff(np.append(start, len(key)))
+
+
+def _cut(c: Contexts, texts: np.ndarray) -> Contexts:
+    """The windows of some texts' contexts as contexts by themselves, by the hash of their bytes; those that occur once are left out."""
+    entry = np.flatnonzero(np.isin(c.text, texts))
+    size = np.array([len(d) - LENGTH + 1 for d in c.data], np.int64)[c.text[entry]]
+    offset, which = _spread(np.zeros(len(entry), np.int64), size)
+    own = {t: strings(np.frombuffer(c.data[t], np.uint8), LENGTH) for t in texts.tolist()}
+    key = np.concatenate([np.zeros(0, np.uint64), *(own[t] for t in c.text[entry].tolist())])
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    good = count[back] > 1
+    entry, offset, key = entry[which][good], offset[good], key[good]
+    seen: dict[tuple[int, bytes], int] = {}
+    text = np.array([seen.setdefault((h, c.data[t][o : o + LENGTH]), len(seen)) for h, t, o in zip(key.tolist(), c.text[entry].tolist(), offset.tolist())], np.int64)
+    age = np.empty(len(entry), np.int64)
+    age[np.lexsort((offset, c.age[entry]))] = np.arange(len(entry))
+    return Contexts(key, c.sender[entry], c.place[entry] + offset, age, text, [k[1] for k in seen]).sorted()
+
+
+def _older(c: Contexts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(senders, places, windows): what an older context under the same key holds."""
+    first, copies, start, size = _groups(c)
+    text = c.text[first]
+    many = np.repeat(size > MANY, size)
+    if many.any():
+        yield from _older(_cut(c, text[many]))
+    # A text that is alone under its key and has no copy meets nobody.
+    use = (size <= MANY) & ((size > 1) | (np.maximum.reduceat(copies, start) > 1 if len(start) else size > 1))
+    weights = np.array([len(c.data[t]) for t in text.tolist()], np.int64)
+    batch = np.cumsum(np.add.reduceat(weights, start)[use]) // INDEX_BYTES if len(start) else start
+    groups = np.flatnonzero(use)
+    # The later copies of a text lie behind each other, by age.
+    by_text = np.argsort(c.text, kind="stable")
+    text_start = np.searchsorted(c.text[by_text], np.arange(len(c.data) + 1))
+    for cut in np.split(groups, np.flatnonzero(np.diff(batch)) + 1) if len(groups) else []:
+        members, group = _spread(start[cut], size[cut])
+        later, starts = older_matches([c.data[t] for t in text[members].tolist()], group, members - start[cut][group], copies[members])
+        senders, places, windows = [], [], []
+        for n, m in enumerate(members.tolist()):
+            for found_, entries in ((starts[n], first[m : m + 1]), (later.get(n), by_text[text_start[text[m]] + 1 : text_start[text[m] + 1]])):
+                if found_ is not None and len(entries):
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], found_, [False]]).astype(np.int8)))
+                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                        senders.append(c.sender[entries])
+                        places.append(c.place[entries] + a)
+                        windows.append(np.full(len(entries), b - a))
+        if senders:
+            yield np.concatenate(senders), np.concatenate(places), np.concatenate(windows)
+
+
+def _answer_contexts(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    parts = list(_older(_read(hashes, senders, values)))
+    if parts:
+        sender, place, windows = (np.concatenate(x) for x in zip(*parts))
+        yield from by_group(sender, OLDER, place.astype(np.uint64), windows)
+
+
+def _finish(group: Group) -> Iterator[pa.RecordBatch]:
+    places, windows = group.answers(OLDER, 2)
+    places = places.astype(np.int64)
+    for k, chunk in group.chunks():
+        own = places >> _CHUNK == k
+        at, size = places[own] & (1 << _CHUNK) - 1, windows[own]
+        edge = np.zeros(len(chunk.data) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + size + LENGTH - 1, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        n_gone, spans, kept = [], [], []
+        for d in range(len(chunk.ids)):
+            a, b = int(chunk.starts[d]), int(chunk.starts[d + 1]) - 1
+            off = gone[a:b]
+            n_gone.append(int(off.sum()))
+            spans.append(np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8))).tolist() if n_gone[-1] else [])
+            kept.append(chunk.data[a:b][~off].tobytes() if n_gone[-1] else chunk.body(d))
+        sizes = np.diff(chunk.starts) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk.ids, mask=~chunk.known), pa.array(sizes, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "edges", "kept"]
+        )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,12 +528,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte of the text's UTF-8 is removed if a string of 100 bytes covers it that also starts earlier: in a document
     with a smaller id, or earlier in the same one. Strings are judged on the input and never cross documents. kept has
     the remaining bytes, edges where removed runs start and end, by turns. A null text has no bytes. Null ids come
-    after all others; of rows with the same id, any one may count as the earlier. An empty table gives an empty result.
+    after all others; of rows with the same id, any one may count as the earlier. An empty table gives an empty result;
+    texts of any length are taken whole; other columns of docs, whatever their names, are never read.
     """
-    chunks = pack(docs, id_col, text_col, CHUNK_BYTES)
+    chunks = pack(docs, id_col, text_col, CHUNK_BYTES, GROUP_BYTES)
     buckets = 2 * partitions(chunks)
     bits = _bits(chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    repeats = settled(answered(asked(chunks, _ask_anchors(bits, buckets), buckets), _answer_repeats, buckets))
-    frequent = answered(asked(chunks, _ask_frequent(bits, buckets), buckets, repeats), _answer_windows, buckets)
-    contexts = asked(chunks, _ask_contexts(bits, buckets), buckets, repeats.unionByName(frequent))
-    return finished(chunks, answered(contexts, _answer_contexts, buckets), _finish, "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
+    anchors = settled(answered(asked(chunks, _ask_anchors(bits, buckets)), _answer_repeats(ANCHORS), buckets))
+    frequent = answered(asked(chunks, _ask_frequent(bits, buckets), anchors), _answer_repeats(WINDOWS), buckets)
+    older = answered(asked(chunks, _ask_contexts(bits, buckets), anchors, frequent), _answer_contexts, buckets)
+    return worked(chunks, _finish, "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary", older)

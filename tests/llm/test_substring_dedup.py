@@ -61,6 +61,31 @@ def test_many_chunks(spark, monkeypatch):
     assert check(docs) > 0
 
 
+def test_unlike_words_of_one_hash(spark):
+    """The Thue-Morse sequence and its complement have one polynomial hash modulo 2 ** 64, whatever its base."""
+    bits = [(i.bit_count() & 1) for i in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"x {same} {b} y"), (4, f"{same} {a} {same} {a} z"), (5, f"{b} {same} {a}")]
+    h = substring_dedup.words(np.frombuffer(f"{a} {b}".encode(), np.uint8))[2]
+    assert h[0] == h[1]
+    assert check(spark.createDataFrame(rows[:2], "doc_id long, text string").repartition(2)) == 0
+    assert check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) > 0
+    assert check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) > 0
+
+
+@pytest.mark.parametrize("chunk,group", [(300, 600), (2000, 2000), (500, 1 << 20)])
+def test_chains_through_chunks_and_groups(spark, monkeypatch, chunk, group):
+    """A passage in most documents, so that chains run through many chunks of many groups."""
+    monkeypatch.setattr(substring_dedup, "pack", lambda *x: chunks.pack(*x, chunk, group))
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(40)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage = text(30)
+    rows = [(i % 90, rng.choice([" ", "\n", "  "]).join(text(rng.randint(0, 20)) + passage[rng.randint(0, 9) :] + text(rng.randint(0, 15)))) for i in range(120)]
+    assert check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) > 500
+
+
 def test_words_in_pieces(monkeypatch):
     text = ("a bb  ccc\n" * 50 + "x" * 300 + " y " + "zé " * 70).encode()
     data = np.frombuffer(text, np.uint8)
