@@ -60,6 +60,35 @@ def test_odd_rows(spark):
     assert check(spark.createDataFrame(rows, SCHEMA), block=16) > 10
 
 
+def test_very_large_and_very_small(spark):
+    """Cosines don't depend on length, however far it is from one."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 4))
+    rows = [(100 * j + i, list(map(float, v * f)), 0, 1, 2, 3) for j, f in enumerate((1.0, 1e200, 1e-200, 3e-308, 2.0**1000)) for i, v in enumerate(base)]
+    rows += [(1000, [1e200, 0.0, 0.0, 0.0], 1, 0, 0, 0), (1001, [1e200, 0.0, 0.0, 0.0], 1, 0, 0, 0), (1002, [5e-324, 0.0, 0.0, 0.0], 1, 0, 0, 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node long, times long, uid long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_components(table).collect()}
+    assert got[1000] == got[1001] == got[1002] == (2, 1000)
+    assert all(got[100 * j + i] == (4, i) for j in range(5) for i in range(12))
+
+
+@pytest.mark.parametrize("n,parts", [(40, 3), (700, 9)])
+def test_block_pairs_are_all_that_can_hold_partners(spark, n, parts):
+    rng = np.random.default_rng(n)
+    low = rng.random((n, 3)) * 3
+    high = low + rng.random((n, 3)) * 0.3
+    place = {}
+    rows = []
+    for b in range(n):
+        label, part = int(rng.integers(0, 3)), int(rng.integers(0, parts))
+        place[label, part] = block = place.get((label, part), -1) + 1
+        rows.append((label, 3, part, block, *low[b].tolist(), *high[b].tolist(), b))
+    names = "label int, length int, part int, block long, " + ", ".join(f"{x}{i} double" for x in ("low", "high") for i in range(3)) + ", b long"
+    got = sorted(tuple(sorted((r.p, r.q))) for r in ed._block_pairs(spark.createDataFrame(rows, names), 3, 0.2).collect())
+    gap = lambda a, b: np.maximum(np.maximum(low[a] - high[b], low[b] - high[a]), 0)
+    assert got == [(a, b) for a in range(n) for b in range(a, n) if rows[a][0] == rows[b][0] and (gap(a, b) ** 2).sum() <= 0.04 + 1e-9]
+
+
 def test_driver_rows(spark):
     check(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), block=64)
 
