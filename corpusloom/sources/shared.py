@@ -30,3 +30,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that this session has written and needs no more, in whatever store it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at path that its writer has finished."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
