@@ -7,15 +7,19 @@ probability is that of its symbols under the model, times the shares of its clas
 Counts of words cover all training texts. The words that may be broadcast are bounded in number and length
 (TABLE_WORDS, WORD_BYTES); the counts of all other words reach the texts through a join. The model starts from seeded
 noise. All training texts are turned into symbols once, and every round of Baum-Welch reads all of them, whole: each
-partition sends its expected counts of transitions and emissions, which are summed by key. Training looks at stretches
-of STRETCH tokens as sequences of their own; scoring runs the scaled forward recursion over whole texts.
+partition sends its expected counts of transitions and emissions, which are summed by key, and its texts' likelihood.
+Rounds end when the mean log10 probability of a training token grows by less than GAIN, or after ROUNDS. Training works
+in single precision but for sums; scoring runs the scaled forward recursion over whole texts in double precision.
+
+Texts of like length are worked through side by side, a step at a time. Of a long text, messages are kept at every
+SPAN-th step, and between these they are made anew on the way back, so memory is bounded whatever a text's length.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -25,10 +29,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bodies, column, settled, slices
 
-STATES, ROUNDS, STRETCH, SYMBOL_WORDS, CLASSES = 8, 14, 256, 8192, 1024
+STATES, ROUNDS, GAIN, SYMBOL_WORDS, CLASSES = 8, 14, 0.002, 8192, 1024
 TABLE_WORDS, WORD_BYTES = 262_144, 64
-#: Tokens of training texts that a task holds at once, or one text if it has more.
-_HELD_TOKENS = 500_000
+#: Steps between kept messages; texts with more tokens than LONG are worked through with each other.
+SPAN, LONG = 2048, 1024
+#: Tokens of short and of long training texts that a task holds at once, or one text if it has more.
+_HELD_TOKENS = (500_000, 1_000_000)
 _FLUSH = 400_000
 
 
@@ -114,8 +120,7 @@ class Table:
 
 @dataclass
 class Model:
-    first: np.ndarray  # of a text
-    again: np.ndarray  # of a later stretch of a text, in training
+    first: np.ndarray
     move: np.ndarray  # from state, to state
     emit: np.ndarray  # symbol, state
 
@@ -131,59 +136,81 @@ def _lengths(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def log_likelihood(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probabilities of whole sequences by the scaled forward recursion, all sequences a step at a time."""
     order, starts, longer = _lengths(lengths)
-    total, alpha = np.zeros(len(lengths)), np.tile(model.first, (len(lengths), 1))
+    total, alpha = np.zeros(len(lengths)), np.tile(model.first[:, None], (1, len(lengths)))
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     for t, m in enumerate(longer):
-        alpha = alpha[:m] if t == 0 else alpha[:m] @ model.move
-        alpha *= model.emit[symbols[starts[:m] + t]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
+        alpha = (alpha[:, :m] if t == 0 else move @ alpha[:, :m]) * emit.take(symbols[starts[:m] + t], axis=1)
+        scale = alpha.sum(axis=0)
+        alpha /= scale
         total[:m] += np.log10(scale)
     out = np.empty(len(lengths))
     out[order] = total
     return out
 
 
-def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (first, again, move, emit) of the sequences; fresh: whether each starts a text."""
+def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray, span: int | None = None, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (first, move, emit) of whole sequences, and the log10 probability of them all."""
+    span = span or SPAN
     order, starts, longer = _lengths(lengths)
-    k = len(model.first)
-    alphas, weights = [], []
-    alpha = np.where(fresh[order][:, None], model.first, model.again)
-    for t, m in enumerate(longer):
-        seen = model.emit[symbols[starts[:m] + t]]
-        alpha = (alpha[:m] if t == 0 else alpha[:m] @ model.move) * seen
-        scale = alpha.sum(axis=1)[:, None]
-        alpha = alpha / scale
-        alphas.append(alpha)
-        weights.append(seen / scale)
-    move, gamma = np.zeros((k, k)), np.empty((len(symbols), k))
-    beta = np.ones((0, k))
-    for t in range(len(longer) - 1, -1, -1):
-        m = longer[t]
-        here = np.ones((m, k))
-        if len(beta):
-            ahead = beta * weights[t + 1]
-            move += alphas[t][: len(beta)].T @ ahead
-            here[: len(beta)] = ahead @ model.move.T
-        gamma[starts[:m] + t] = alphas[t] * here
-        beta = here
-    at = gamma[np.cumsum(lengths) - lengths]
-    emit = np.stack([np.bincount(symbols, gamma[:, s], len(model.emit)) for s in range(k)], axis=1)
-    return at[fresh].sum(axis=0), at[~fresh].sum(axis=0), move * model.move, emit
-
-
-def stretches(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts' symbols as sequences of STRETCH at most: all symbols, lengths, and which start a text."""
-    lengths = [min(STRETCH, len(x) - at) for x in texts for at in range(0, len(x), STRETCH)]
-    fresh = [at == 0 for x in texts for at in range(0, len(x), STRETCH)]
-    return np.concatenate(texts), np.array(lengths, np.int64), np.array(fresh, bool)
-
-
-def updated(first: np.ndarray, again: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
+    k, steps = len(model.first), len(longer)
+    emit, move = np.ascontiguousarray(model.emit.T, kind), np.ascontiguousarray(model.move, kind)
+    forward = np.ascontiguousarray(move.T)
+
+    def block(t0: int, t1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each step's tokens start, the symbols in the order of steps, what they weigh in each state."""
+        ends = np.concatenate([[0], np.cumsum(longer[t0:t1])])
+        which = np.repeat(np.arange(t1 - t0), longer[t0:t1])
+        s = symbols[starts[np.arange(ends[-1]) - ends[:-1][which]] + which + t0]
+        return ends, s, emit.take(s, axis=1)
+
+    def ahead_of(before: np.ndarray | None, t0: int, t1: int, ends: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+        """Forward messages of a block's steps; weight is divided by each step's scale."""
+        out, total = np.empty_like(weight), 0.0
+        for t in range(t0, t1):
+            a, b = ends[t - t0], ends[t - t0 + 1]
+            x = out[:, a:b]
+            np.multiply(np.broadcast_to(model.first.astype(kind)[:, None], x.shape) if before is None else forward @ before[:, : b - a], weight[:, a:b], out=x)
+            scale = x.sum(axis=0)
+            total += float(np.log10(scale, dtype=np.float64).sum())
+            scale = 1 / scale
+            x *= scale
+            weight[:, a:b] *= scale
+            before = x
+        return out, total
+
+    edges = [*range(0, steps, span), steps]
+    kept: list[np.ndarray | None] = [None]
+    for t0, t1 in zip(edges[:-2], edges[1:-1]):
+        ends, _, weight = block(t0, t1)
+        kept.append(ahead_of(kept[-1], t0, t1, ends, weight)[0][:, ends[-2] :].copy())
+    first, moved, counts, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit))), 0.0
+    ahead = None
+    for n in range(len(edges) - 2, -1, -1):
+        t0, t1 = edges[n], edges[n + 1]
+        ends, s, weight = block(t0, t1)
+        gamma, more = ahead_of(kept.pop(), t0, t1, ends, weight)
+        total += more
+        for t in range(t1 - 1, t0 - 1, -1):
+            a, b = ends[t - t0], ends[t - t0 + 1]
+            x, here = gamma[:, a:b], np.ones((k, b - a), kind)
+            if ahead is not None:
+                m = ahead.shape[1]
+                moved += x[:, :m] @ ahead.T
+                here[:, :m] = move @ ahead
+            ahead = here * weight[:, a:b]
+            x *= here
+        if not t0 and steps:
+            first = gamma[:, : ends[1]].sum(axis=1, dtype=np.float64)
+        for q in range(k):
+            counts[q] += np.bincount(s, gamma[q], counts.shape[1])
+    return first, moved * model.move, counts.T, total
+
+
+def updated(first: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
     """The model of expected counts; prior, how common each symbol is, keeps every emission above zero."""
     over = lambda x: x / x.sum(axis=-1, keepdims=True)
     emit = emit + prior[:, None]
-    return Model(over(first + 0.5), over(again + 0.5), over(move + 0.5), emit / emit.sum(axis=0))
+    return Model(over(first + 0.5), over(move + 0.5), emit / emit.sum(axis=0))
 
 
 def _prior(table: Table) -> np.ndarray:
@@ -191,17 +218,12 @@ def _prior(table: Table) -> np.ndarray:
     return n / n.sum()
 
 
-def start(table: Table, texts: Sequence[np.ndarray] = (), rounds: int = ROUNDS) -> Model:
-    """A first model: noise round the symbols' shares; then rounds over texts in memory, if any are given."""
+def start(table: Table) -> Model:
+    """A first model: noise round the symbols' shares."""
     rng, prior = np.random.default_rng(7), _prior(table)
     emit = prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), STATES))
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
-    model = Model(np.full(STATES, 1 / STATES), np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
-    if texts:
-        symbols, lengths, fresh = stretches(texts)
-        for _ in range(rounds):
-            model = updated(*expected(model, symbols, lengths, fresh), prior)
-    return model
+    return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
 
 def tabulate(counts: DataFrame, texts: int, table_words: int = TABLE_WORDS, symbol_words: int = SYMBOL_WORDS) -> Table:
@@ -229,8 +251,25 @@ def tabulate(counts: DataFrame, texts: int, table_words: int = TABLE_WORDS, symb
     return table
 
 
-def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, **sizes: int) -> tuple[Table, Model]:
-    """Table and model of training (body): noise, then all rounds over all training texts."""
+def _held(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[list[np.ndarray]]:
+    """Texts' symbols, some hundred thousand tokens at once, short texts and long ones apart."""
+    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    n = [0, 0]
+    for batch in slices(batches, 1 << 22, "symbols"):
+        for b in column(batch, "symbols"):
+            x = np.frombuffer(b.as_buffer(), kind)
+            which = int(len(x) > LONG)
+            if held[which] and n[which] + len(x) > _HELD_TOKENS[which]:
+                yield held[which][:]
+                held[which].clear()
+                n[which] = 0
+            held[which].append(x)
+            n[which] += len(x)
+    yield from (h for h in held if h)
+
+
+def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, gain: float = GAIN, **sizes: int) -> tuple[Table, Model, list[float]]:
+    """Table and model of training (body), and the mean log10 probability of a symbol before each round over all texts."""
     spark = training.sparkSession
     table = tabulate(counts, training.count(), **sizes)
     known = spark.sparkContext.broadcast(replace(table))
@@ -246,40 +285,45 @@ def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, **sizes:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["symbols"])
 
     coded = settled(training.select("body").mapInArrow(code, "symbols binary"))
-    for _ in range(rounds):
+    means: list[float] = []
+    for _ in range(rounds if table.texts else 0):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = sent.value  # noqa: B023
-            sums = [np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((size, k))]
-            for batch in slices(batches, _HELD_TOKENS * kind.itemsize, "symbols"):
-                texts = [np.frombuffer(b.as_buffer(), kind) for b in column(batch, "symbols")]
-                for s, x in zip(sums, expected(now, *stretches(texts))):
+            sums = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros(1)]
+            for texts in _held(batches, kind):
+                for s, x in zip(sums, expected(now, np.concatenate(texts), np.array(list(map(len, texts)), np.int64))):
                     s += x
             flat = np.concatenate([s.ravel() for s in sums])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["i", "v"])
 
         got = coded.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(2 * k + k * k + size * k)
+        flat = np.zeros(k + k * k + size * k + 1)
         flat[got["i"].to_numpy()] = got["v"].to_numpy()
-        cut = np.split(flat, [k, 2 * k, 2 * k + k * k])
-        model = updated(cut[0], cut[1], cut[2].reshape(k, k), cut[3].reshape(size, k), prior)
-    return table, model
+        cut = np.split(flat, [k, k + k * k, len(flat) - 1])
+        model = updated(cut[0], cut[1].reshape(k, k), cut[2].reshape(size, k), prior)
+        means.append(float(cut[3][0]) / table.all_tokens)
+        if len(means) > 1 and means[-1] - means[-2] < gain:
+            break
+    return table, model, means
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, **sizes: int) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, gain: float = GAIN, **sizes: int) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of docs.
 
     The model learns from rows that are not held out. base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) over the
     tokens, score is the model's log10 probability of the text. A null text is empty: its only token is the end. A
-    repeated row counts as a text of its own. sizes: table_words and symbol_words of tabulate(). If there is nothing to learn from, all symbols' chances are even.
+    repeated row counts as a text of its own, a null id is not held out. sizes: table_words and symbol_words of
+    tabulate(). If there is nothing to learn from, all symbols' chances are even. An empty table gives an empty result;
+    texts of any length are taken whole; other columns of docs, whatever their names, are never read.
     """
     rows = bodies(docs, id_col=id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.withColumn("held_out", held_out("doc_id"))
     training = rows.filter(~F.col("held_out")).select("body")
     counts = settled(word_counts(training))
-    table, model = learn(training, counts, rounds, **sizes)
+    table, model, _ = learn(training, counts, rounds, gain, **sizes)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((replace(table), model))
 
