@@ -47,8 +47,13 @@ def _may(low: Column, rules: tuple[Rule, ...]) -> Column:
     words: dict[str, set[str]] = {"licen": {"licen"}}
     for r in rules:
         words.setdefault(r.keyword, set()).update(r.words)
+    # What holds a word that is enough by itself needs no look of its own.
+    enough = {k for k, own in words.items() if k in own and " " not in k}
     ways = []
     for keyword, own in sorted(words.items()):
+        own = {w for w in own if not any(k in w and (k != w or k != keyword) for k in enough)}
+        if not own or any(k in keyword and k != keyword for k in enough):
+            continue
         way = every(keyword)
         if KEYWORDS[keyword] not in keyword:
             way = way & low.rlike(KEYWORDS[keyword])
@@ -63,10 +68,20 @@ def detections(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     may = _let(F.lower(text), lambda low: _may(low, rules))
     whole = lambda p: f" ({p})(?= )"
-    lit = lambda base, r: F.struct(F.lit(base).alias("base"), F.lit(r.priority).alias("priority"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.array(*map(F.lit, r.words)).alias("words"), F.lit(whole(r.pattern)).alias("pattern"))
-    table = F.array(*[lit(True, Rule(-1 - i, label, 9, "licen", (phrase,), phrase)) for i, (phrase, label) in enumerate(BASE)], *[lit(False, r) for r in rules])
+    # Rules by keyword and words, so that a text is searched once for what several rules ask for.
+    by: dict[str, dict[tuple[str, ...], list[Column]]] = {}
+    for base, r in [*((True, Rule(-1 - i, label, 9, "licen", (phrase,), phrase)) for i, (phrase, label) in enumerate(BASE)), *((False, r) for r in rules)]:
+        rule = F.struct(F.lit(base).alias("base"), F.lit(r.priority).alias("priority"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"), F.lit(whole(r.pattern)).alias("pattern"))
+        by.setdefault(r.keyword, {}).setdefault(r.words, []).append(rule)
+    table = F.array(*[
+        F.struct(F.lit(keyword).alias("keyword"), F.array(*[F.struct(F.array(*map(F.lit, words)).alias("words"), F.array(*own).alias("rules")) for words, own in ways.items()]).alias("ways"))
+        for keyword, ways in by.items()
+    ])
+    held = lambda norm: F.flatten(F.transform(
+        F.filter(F.flatten(F.transform(F.filter(table, lambda k: F.contains(norm, k["keyword"])), lambda k: k["ways"])), lambda w: F.exists(w["words"], lambda x: F.contains(norm, x))), lambda w: w["rules"]
+    ))
     hits = lambda norm: F.transform(
-        F.filter(table, lambda r: F.contains(norm, r["keyword"]) & F.exists(r["words"], lambda w: F.contains(norm, w)) & F.regexp(norm, r["pattern"])),
+        F.filter(held(norm), lambda r: F.regexp(norm, r["pattern"])),
         lambda r: F.transform(_places(norm, r["pattern"]), lambda x: F.struct(r["base"].alias("base"), x["first"].alias("first"), x["last"].alias("last"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"))),
     )
     return docs.withColumn("found", F.when(may, _let(spaced(text), lambda norm: F.flatten(hits(norm)))))
