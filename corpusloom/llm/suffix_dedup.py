@@ -46,6 +46,7 @@ PART = 11
 INDEX_BYTES, MANY = 1 << 20, 256
 #: Bytes of a chunk, of a group, and of a chunk at once; smaller than what chunks.py takes, for there are more numbers to a byte here.
 CHUNK_BYTES, GROUP_BYTES, _PIECE, _PLACE_BITS = 2 << 20, 16 << 20, 1 << 15, 20
+_GAP = np.zeros(1, bool)
 # Kinds of answers, and where in a place the number of the chunk starts.
 ANCHORS, WINDOWS, OLDER = range(3)
 _CHUNK = 32
@@ -282,23 +283,38 @@ def _ask_contexts(bits: int, buckets: int):
 class RunIndex:
     """The run-compressed Burrows-Wheeler transform of a text of symbols, with the text places of both ends of its runs.
 
-    Texts end in symbols that occur once. rank[k] numbers the strings of 2 ** k symbols at each place in their order;
-    the last numbers all rotations, and pairs of places are compared through them. copies: how many equal texts each
+    Texts end in symbols that occur once. rank[k] orders the strings of 2 ** k symbols at each place; the last orders all
+    rotations, and pairs of places are compared through them. copies: how many equal texts each
     place of the text stands for; their rows lie next to each other, so they lengthen the runs that one of them has.
     """
 
     def __init__(self, text: np.ndarray, copies: np.ndarray | None = None):
         n = self.n = len(text)
-        self.symbols, rank = np.unique(text, return_inverse=True)
-        codes, self.rank = rank, [rank.astype(np.int32)]
-        while int(rank.max()) < n - 1:
+        there = np.zeros(int(text.max()) + 1, bool)
+        there[text] = True
+        self.code = np.where(there, np.cumsum(there) - 1, -1)
+        codes = self.code[text]
+        # A rank is the number of strings that are smaller. Strings of one symbol come in the order of symbols; those of
+        # twice the length are sorted only where ranks are shared so far.
+        size = np.bincount(codes)
+        rank = (np.cumsum(size) - size).astype(np.int32)[codes]
+        self.rank = [codes.astype(np.int32)]
+        shared = np.flatnonzero(size[codes] > 1)
+        while len(shared):
             step = 1 << (len(self.rank) - 1)
-            key = rank * np.int64(n) + np.roll(rank, -step)
+            ahead = shared + step
+            ahead[ahead >= n] -= n
+            key = rank[shared].astype(np.int64) << 32 | rank[ahead]
             order = np.argsort(key)
-            key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-            self.rank.append(rank.astype(np.int32))
+            key, own = key[order], shared[order]
+            old = (key >> 32).astype(np.int32)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first, group = np.flatnonzero(new), np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+            # A string's new rank: the old one, and how many before it in its group differ from it.
+            times = np.diff(np.append(first, len(key)))
+            rank[own] = np.repeat(old[first] + (first - group[np.searchsorted(group, first, "right") - 1]).astype(np.int32), times)
+            self.rank.append(rank.copy())
+            shared = own[np.repeat(times > 1, times)]
         suffixes = np.empty(n, np.int64)
         suffixes[rank] = np.arange(n)
         before = codes[suffixes - 1]
@@ -309,12 +325,15 @@ class RunIndex:
         rows = np.cumsum(np.ones(n, np.int64) if copies is None else copies[suffixes])
         self.end = rows[last] - 1
         self.start = np.append(0, self.end[:-1] + 1)
+        self.size = self.end - self.start + 1
         runs = len(self.start)
         order = np.argsort(self.symbol, kind="stable")
-        size = (self.end - self.start + 1)[order]
-        self.maps_to = np.empty(runs, np.int64)
-        self.maps_to[order] = np.cumsum(size) - size
         self.by_symbol, self.keys = order, self.symbol[order] * np.int64(runs) + order
+        # The rows of the symbols of a run lie side by side, from a place in a run on.
+        to = np.cumsum(self.size[order]) - self.size[order]
+        self.to_run, self.to_place = np.empty(runs, np.int64), np.empty(runs, np.int64)
+        self.to_run[order] = there = np.searchsorted(self.start, to, "right") - 1
+        self.to_place[order] = to - self.start[there]
 
     def agree(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
         """How many symbols are the same from the places i and j on, exact up to most."""
@@ -327,55 +346,64 @@ class RunIndex:
 
     def statistics(self, patterns: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each place of the patterns, which are streamed side by side, the length of the longest match from there on."""
-        code = np.minimum(np.searchsorted(self.symbols, patterns), len(self.symbols) - 1)
-        code = np.where(self.symbols[code] == patterns, code, -1)
+        code = np.where(patterns < len(self.code), self.code[np.minimum(patterns, len(self.code) - 1)], -1)
         out = np.zeros(len(patterns), np.int64)
         order = np.argsort(-lengths, kind="stable")
-        last, longer = (starts + lengths - 1)[order], np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")
-        row, place, match = np.zeros(len(order), np.int64), np.full(len(order), self.place_start[0]), np.zeros(len(order), np.int64)
-        runs = len(self.start)
-        for t, m in enumerate(longer):
-            row, place, match = row[:m], place[:m], match[:m]
-            c = code[last[:m] - t]
-            run = np.searchsorted(self.start, row, "right") - 1
-            miss = np.flatnonzero(self.symbol[run] != c)
+        at, longer = (starts + lengths - 1)[order], np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left").tolist()
+        # A row is a run and a place in it.
+        run, row, match = (np.zeros(len(order), np.int64) for _ in range(3))
+        place, runs = np.full(len(order), self.place_start[0]), len(self.start)
+        for m in longer:
+            run, row, place, match, at = run[:m], row[:m], place[:m], match[:m], at[:m]
+            c = code[at]
+            miss, lost = np.flatnonzero(self.symbol[run] != c), ()
             if len(miss):
                 want = c[miss]
-                at = np.searchsorted(self.keys, want * np.int64(runs) + run[miss])
-                below, above = np.minimum(at, runs - 1), np.maximum(at - 1, 0)
+                near = np.searchsorted(self.keys, want * np.int64(runs) + run[miss])
+                below, above = np.minimum(near, runs - 1), np.maximum(near - 1, 0)
                 u, d = self.by_symbol[above], self.by_symbol[below]
-                has_u, has_d = (at > 0) & (self.symbol[u] == want), (at < runs) & (self.symbol[d] == want)
-                here, had = place[miss], match[miss]
-                most = int(had.max())
-                lu = np.where(has_u, np.minimum(had, self.agree(here, self.place_end[u], most)), -1)
-                ld = np.where(has_d, np.minimum(had, self.agree(here, self.place_start[d], most)), -1)
+                up_there, down_there = self.place_end[u], self.place_start[d]
+                had, k = match[miss], len(miss)
+                both = self.agree(np.tile(place[miss], 2), np.concatenate([up_there, down_there]), int(had.max()))
+                lu = np.where((near > 0) & (self.symbol[u] == want), np.minimum(had, both[:k]), -1)
+                ld = np.where((near < runs) & (self.symbol[d] == want), np.minimum(had, both[k:]), -1)
                 up = lu >= ld
                 run[miss] = np.where(up, u, d)
-                row[miss] = np.where(up, self.end[u], self.start[d])
-                place[miss] = np.where(up, self.place_end[u], self.place_start[d])
+                row[miss] = np.where(up, self.size[u] - 1, 0)
+                place[miss] = np.where(up, up_there, down_there)
                 match[miss] = np.maximum(lu, ld)
-            row = self.maps_to[run] + row - self.start[run]
-            place, match = (place - 1) % self.n, match + 1
-            lost = match <= 0  # the symbol isn't in the text
-            row[lost], place[lost], match[lost] = 0, self.place_start[0], 0
-            out[last[:m] - t] = match
+                lost = miss[match[miss] < 0]  # the symbol isn't in the text
+            row = row + self.to_place[run]
+            run = self.to_run[run]
+            over = np.flatnonzero(row >= self.size[run])
+            while len(over):
+                row[over] -= self.size[run[over]]
+                run[over] += 1
+                over = over[row[over] >= self.size[run[over]]]
+            place -= 1
+            place[place < 0] += self.n
+            match += 1
+            if len(lost):
+                run[lost], row[lost], place[lost], match[lost] = 0, 0, self.place_start[0], 0
+            out[at] = match
+            at = at - 1
         return out
 
 
-def _matched(data: list[bytes], older: np.ndarray, younger: np.ndarray, block: np.ndarray, copies: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _matched(data: list[bytes], older: np.ndarray, younger: np.ndarray, old_block: np.ndarray, young_block: np.ndarray, copies: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each of the younger texts, which of its windows one of the older texts of its block holds."""
-    _, block = np.unique(block, return_inverse=True)
     ends = len(older)  # symbols 0 .. ends - 1 end a text each
+    names, block = np.unique(np.concatenate([old_block, young_block]), return_inverse=True)
 
-    def coded(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(data[k]) for k in which], np.int64)
-        raw = np.frombuffer(b"".join([data[k] for k in which]), np.uint8)
-        return raw.astype(np.int64) + 256 * np.repeat(block[which], lengths) + ends, lengths
+    def coded(which: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(data[k]) for k in which.tolist()], np.int64)
+        raw = np.frombuffer(b"".join([data[k] for k in which.tolist()]), np.uint8)
+        return raw.astype(np.int64) + np.repeat(256 * block + ends, lengths), lengths
 
-    text, lengths = coded(older)
+    text, lengths = coded(older, block[:ends])
     at = np.cumsum(lengths)
     index = RunIndex(np.insert(text, at, np.arange(ends)), np.insert(np.repeat(copies[older], lengths), at, copies[older]))
-    symbols, lengths = coded(younger)
+    symbols, lengths = coded(younger, block[ends:])
     first = np.cumsum(lengths) - lengths
     long = index.statistics(symbols, first, lengths) >= LENGTH
     for k, s, n in zip(younger.tolist(), first.tolist(), lengths.tolist()):
@@ -386,21 +414,32 @@ def older_matches(data: list[bytes], group: np.ndarray, number: np.ndarray, copi
     """Windows of contexts that an older context of their group holds.
 
     data: contexts that differ within a group; number: by the age of the first copy, within the group; copies: how many
-    there are. Gives the windows of the later copies, by context, and those of each context's first copy.
+    there are. Gives the windows of the later copies, by context, and those of each context's first copy. All levels
+    are in one index, with alphabets of their own.
     """
-    later: dict[int, np.ndarray] = {}
-    starts = [np.zeros(max(0, len(d) - LENGTH + 1), bool) for d in data]
     several = np.flatnonzero(copies > 1)
-    if len(several):
-        later = dict(_matched(data, several, several, group, copies))
-    bit = 0
+    older, younger, blocks = [several], [several], [(group[several], group[several])]
+    bit, many = 0, int(group.max()) + 1 if len(group) else 1
     while len(number) and (int(number.max()) >> bit) > 0:
-        block = group * (int(number.max() >> (bit + 1)) + 1) + (number >> (bit + 1))
+        # A block has the contexts of a group that agree in the bits above; it is told from those of other levels.
+        _, block = np.unique(group * (int(number.max() >> (bit + 1)) + 1) + (number >> (bit + 1)), return_inverse=True)
         young = number >> bit & 1 == 1
-        old = ~young & np.isin(block, block[young])
-        for k, found_ in _matched(data, np.flatnonzero(old), np.flatnonzero(young), block, copies):
+        old = np.flatnonzero(~young & np.isin(block, block[young]))
+        young = np.flatnonzero(young)
+        older.append(old)
+        younger.append(young)
+        blocks.append((many + block[old], many + block[young]))
+        many, bit = many + int(block.max()) + 1, bit + 1
+    later: dict[int, np.ndarray] = {}
+    starts = [np.zeros(max(0, len(d) - LENGTH + 1), bool) for d in data]
+    old, young = np.concatenate(older), np.concatenate(younger)
+    if not len(young):
+        return later, starts
+    for n, (k, found_) in enumerate(_matched(data, old, young, np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]), copies)):
+        if n < len(several):
+            later[k] = found_
+        else:
             starts[k] |= found_
-        bit += 1
     return later, starts
 
 
@@ -479,17 +518,21 @@ def _older(c: Contexts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for cut in np.split(groups, np.flatnonzero(np.diff(batch)) + 1) if len(groups) else []:
         members, group = _spread(start[cut], size[cut])
         later, starts = older_matches([c.data[t] for t in text[members].tolist()], group, members - start[cut][group], copies[members])
-        senders, places, windows = [], [], []
-        for n, m in enumerate(members.tolist()):
-            for found_, entries in ((starts[n], first[m : m + 1]), (later.get(n), by_text[text_start[text[m]] + 1 : text_start[text[m] + 1]])):
-                if found_ is not None and len(entries):
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], found_, [False]]).astype(np.int8)))
-                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                        senders.append(c.sender[entries])
-                        places.append(c.place[entries] + a)
-                        windows.append(np.full(len(entries), b - a))
-        if senders:
-            yield np.concatenate(senders), np.concatenate(places), np.concatenate(windows)
+        # Runs of windows with an older copy, of first copies and of what all later copies share, found in one array.
+        several = np.fromiter(later, np.int64, len(later))
+        flags = [*starts, *later.values()]
+        at = np.cumsum([0, *(len(f) + 1 for f in flags)])
+        edge = np.flatnonzero(np.diff(np.concatenate([np.zeros(1, bool), *(x for f in flags for x in (f, _GAP))]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        of = np.searchsorted(at, begin, "right") - 1
+        begin, windows = begin - at[of], end - begin
+        own = of < len(starts)
+        entry = first[members[of[own]]]
+        yield c.sender[entry], c.place[entry] + begin[own], windows[own]
+        its = text[members[several[of[~own] - len(starts)]]] if len(several) else np.zeros(0, np.int64)
+        entry, which = _spread(text_start[its] + 1, text_start[its + 1] - text_start[its] - 1)
+        entry = by_text[entry]
+        yield c.sender[entry], c.place[entry] + begin[~own][which], windows[~own][which]
 
 
 def _answer_contexts(hashes: np.ndarray, senders: np.ndarray, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
