@@ -12,15 +12,13 @@ their names, pass unchanged until the last stage. An empty table gives an empty
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, exact_dedup, gam, mixing, simhash
 from corpusloom.llm.common import read
-from corpusloom.sources.shared import removed, shared_dir, written
+from corpusloom.sources.shared import removed, scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """The rows of the last stage. folder: where stages are written, a new one in the shared folder if none is given.
 
-    A stage that is complete in folder is not run again. The rows of a stage are deleted once the next is written; the
-    caller deletes those of the last.
+    A stage that is complete in folder is not run again. The rows of a stage are deleted once the next is written; those
+    of the last stay in a folder that was given, and go with the driver otherwise.
     """
-    folder = folder or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "pipeline")
     done = [n for n, (name, _) in enumerate(STAGES) if written(spark, f"{folder}/{name}")]
     for n, (name, stage) in enumerate(STAGES):
         if done and n <= done[-1]:

@@ -8,8 +8,6 @@ letters or more.
 from __future__ import annotations
 
 import io
-import re
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
@@ -24,7 +22,7 @@ from corpusloom.models import EchoGenerator, HashEmbedder, OverlapJudge, Overlap
 from corpusloom.operators import bm25, catalog, chat, evals, retrieve, vector
 from corpusloom.service import Library, Uploaded
 from corpusloom.sources import docx, tables
-from corpusloom.sources.shared import shared_dir
+from corpusloom.sources.shared import scratch
 from corpusloom.sources.tables import load
 from corpusloom.streaming import evaluation, history
 
@@ -65,13 +63,6 @@ def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return near.join(load(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), "query_id")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder; a relative path or one without a scheme becomes a URI that every reader takes."""
-    root = shared_dir(spark)
-    root = f"file://{root}" if root.startswith("/") else re.sub("^file:/+", "file:///", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.topk(_questions(spark, sf).select("query_id", "text"), load(spark, sf, "documents"))
@@ -86,7 +77,7 @@ def term_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bm25_saved_index(spark: SparkSession, sf: str) -> DataFrame:
     """The same as bm25_topk from an index that is written, and read again."""
-    docs, folder = load(spark, sf, "documents"), _folder(spark, "index")
+    docs, folder = load(spark, sf, "documents"), scratch(spark, "index")
     tables.save_index(bm25.build(docs), folder)
     return bm25.topk_of(_questions(spark, sf).select("query_id", "text"), tables.load_index(spark, folder), docs.select("doc_id"))
 
@@ -305,7 +296,7 @@ def recent_messages_3(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_recent_messages(spark: SparkSession, sf: str) -> DataFrame:
     """The same last three messages from a stream of all conversations, of each conversation its last update."""
-    path, folder = f"{sf}/conversations.parquet", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path, folder = f"{sf}/conversations.parquet", scratch(spark, "stream")
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
     rows = rows.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"))
 
@@ -389,7 +380,7 @@ def _scored(each: DataFrame) -> DataFrame:
 @query
 def stream_eval_questions(spark: SparkSession, sf: str) -> DataFrame:
     """The same as eval_questions from a stream of the questions, each batch evaluated when it comes."""
-    path, folder = f"{sf}/benchmark.parquet", _folder(spark, "stream")
+    path, folder = f"{sf}/benchmark.parquet", scratch(spark, "stream")
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
     docs = load(spark, sf, "documents")
     index = bm25.build(docs)
@@ -568,7 +559,7 @@ def parse_docx_details(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parse_docx_figures(spark: SparkSession, sf: str) -> DataFrame:
     """The figures of these files, written as files of their own and read again."""
-    parsed, folder = docx.parsed(_rich(spark, sf)), _folder(spark, "figures")
+    parsed, folder = docx.parsed(_rich(spark, sf)), scratch(spark, "figures")
     tables.export_figures(parsed, folder)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_0*").load(folder).select(text.basename(F.col("path")).alias("filename"), F.md5("content").alias("md5"))
     return tables.figures(parsed).join(files, "filename").select("filename", "relationship_id", "source_path", F.col("position").cast("long").alias("position"), "md5")
@@ -586,7 +577,7 @@ def broken_docx(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def markdown_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of the largest ids' source written as Markdown, a folder for each, and read again."""
-    folder, docs = _folder(spark, "markdown"), load(spark, sf, "documents")
+    folder, docs = scratch(spark, "markdown"), load(spark, sf, "documents")
     parsed = docs.select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document_name"), "text")
     tables.write_files(parsed.select(F.concat(F.lit("deep/"), "document_name").alias("path"), F.coalesce("text", F.lit("")).alias("content")), folder)
     return tables.read_markdown(spark, folder).select("document_name", F.md5("text").alias("md5"))
@@ -595,7 +586,7 @@ def markdown_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def question_set_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Question sets as JSON Lines, written and read with their schemas."""
-    folder, asked = _folder(spark, "questions"), _questions(spark, sf)
+    folder, asked = scratch(spark, "questions"), _questions(spark, sf)
     asked.select(F.col("text").alias("question"), "keywords", F.concat(F.lit("It is: "), "text").alias("reference_answer"), (F.col("query_id") % 4).cast("string").alias("category"), F.lit(1).alias("more")).write.json(folder)
     asked.select(F.col("text").alias("question"), F.lit("").alias("history"), (F.col("query_id") % 2 == 0).alias("expected_use_rag")).write.json(f"{folder}-router")
     first, second = tables.read_questions(spark, folder), tables.read_router_set(spark, f"{folder}-router")
@@ -606,7 +597,7 @@ def question_set_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def conversation_set_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as files with one JSON array each."""
-    folder = _folder(spark, "sets")
+    folder = scratch(spark, "sets")
     rows = _messages(spark, sf).groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("id", "content"))).alias("m"))
     made = rows.select(F.col("conversation_id").cast("string").alias("id"), (F.col("conversation_id") % 3).cast("string").alias("category"), F.transform("m", lambda x: x["content"]).alias("questions"))
     blocks = made.groupBy((F.col("id").cast("long") % 8).alias("block")).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("all"))
@@ -617,7 +608,7 @@ def conversation_set_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def create_collection(spark: SparkSession, sf: str) -> DataFrame:
     """A collection made twice, filled in between; the second time changes nothing."""
-    path = f"{_folder(spark, 'collection')}/vectors"
+    path = f"{scratch(spark, 'collection')}/vectors"
     rows = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("document_id"), F.lit("").alias("chunk_id"))
     tables.create_table(spark, path, schema.VECTOR)
     before = spark.read.parquet(path).count()
@@ -628,7 +619,7 @@ def create_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 def _library(spark: SparkSession, sf: str) -> tuple[Library, Uploaded]:
     """A library of all documents as Word files with their first figure, and of one file that isn't a document."""
-    root = _folder(spark, "library")
+    root = scratch(spark, "library")
     docs = load(spark, sf, "documents").select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("document_name"), (F.col("doc_id") % 1000).alias("number"), "source")
     files = _made_docx(docs, _rich_docx).unionByName(spark.createDataFrame([("broken.docx", b"broken")], "document_name string, content binary"))
     tables.write_files(files.select(F.concat(F.lit("in/"), "document_name").alias("path"), "content"), root)
@@ -674,7 +665,7 @@ def library_delete(spark: SparkSession, sf: str) -> DataFrame:
 def library_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """A question without retrieval from every conversation: answers, a second question, renaming, deletion."""
     asked = [r[0] for r in load(spark, sf, "benchmark").select("item_id").orderBy("item_id").collect()]
-    out = Library(spark, f"{_folder(spark, 'library')}/library", HashEmbedder(16), OverlapReranker(), RuleRouter(), EchoGenerator())
+    out = Library(spark, f"{scratch(spark, 'library')}/library", HashEmbedder(16), OverlapReranker(), RuleRouter(), EchoGenerator())
     numbers = [r.conversation_id for r in out.chat([(None, f"hello {i}") for i in asked]).orderBy("conversation_id").collect()]
     out.chat([(n, "thanks a lot") for n in numbers[1:]])
     out.rename(numbers[1], "  renamed ")

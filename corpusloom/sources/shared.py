@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +30,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, as a URI; what is there goes when this driver ends, and may go before by removed().
+
+    What a query writes there it may read as late as its rows are asked for, so nothing earlier can take it away.
+    """
+    root = shared_dir(spark)
+    root = f"file://{root}" if root.startswith("/") else re.sub("^file:/+", "file:///", root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    @atexit.register
+    def gone() -> None:
+        # The JVM may have ended before; then the folder stays.
+        with contextlib.suppress(Exception):
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+    return path
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that this session has written and needs no more, in whatever store it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
