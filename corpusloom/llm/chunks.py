@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bodies, column, partitions, placed
 
-CHUNK_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
+CHUNK_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
 _QUESTIONS, _ANSWERS = "bucket int, grp long, data binary", "grp long, kind int, data binary"
 
 

@@ -45,7 +45,7 @@ PART = 11
 #: Bytes of contexts that one index takes at once, and contexts of one key at most that enter it uncut.
 INDEX_BYTES, MANY = 1 << 20, 256
 #: Bytes of a chunk, of a group, and of a chunk at once; smaller than what chunks.py takes, for there are more numbers to a byte here.
-CHUNK_BYTES, GROUP_BYTES, _PIECE, _PLACE_BITS = 2 << 20, 16 << 20, 1 << 15, 20
+CHUNK_BYTES, GROUP_BYTES, _PIECE, _PLACE_BITS = 2 << 20, 8 << 20, 1 << 15, 20
 _GAP = np.zeros(1, bool)
 # Kinds of answers, and where in a place the number of the chunk starts.
 ANCHORS, WINDOWS, OLDER = range(3)
