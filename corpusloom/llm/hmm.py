@@ -11,8 +11,11 @@ partition sends its expected counts of transitions and emissions, which are summ
 Rounds end when the mean log10 probability of a training token grows by less than GAIN, or after ROUNDS. Training works
 in single precision but for sums; scoring runs the scaled forward recursion over whole texts in double precision.
 
-Texts of like length are worked through side by side, a step at a time. Of a long text, messages are kept at every
-SPAN-th step, and between these they are made anew on the way back, so memory is bounded whatever a text's length.
+Texts are worked through side by side, a step at a time. So that a long text doesn't keep the others waiting, texts are
+cut into segments of SPAN tokens that carry each other's messages: a segment's tokens make one matrix, their product
+from state to state; with these the messages at all segments' edges are found, and then all segments are worked
+through side by side. That is the same recursion in another order of its products, and memory is bounded whatever a
+text's length.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from corpusloom.llm.common import bodies, column, settled, slices
 
 STATES, ROUNDS, GAIN, SYMBOL_WORDS, CLASSES = 8, 14, 0.002, 8192, 1024
 TABLE_WORDS, WORD_BYTES = 262_144, 64
-#: Steps between kept messages; texts with more tokens than LONG are worked through with each other.
-SPAN, LONG = 2048, 1024
-#: Tokens of short and of long training texts that a task holds at once, or one text if it has more.
-_HELD_TOKENS = (500_000, 1_000_000)
+#: Tokens of a segment, and tokens that are worked through at once.
+SPAN, _AT_ONCE = 1024, 1_200_000
+#: Tokens of training texts that a task holds at once, or one text if it has more.
+_HELD_TOKENS = 1_000_000
 _FLUSH = 400_000
 
 
@@ -125,82 +128,143 @@ class Model:
     emit: np.ndarray  # symbol, state
 
 
-def _lengths(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences by falling length, where they start, and how many are longer than 0, 1, 2, ..."""
+def _lengths(lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Sequences by falling length, and how many are longer than 0, 1, 2, ..."""
     order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    longer = np.searchsorted(-lengths[order], -np.arange(lengths.max() if len(lengths) else 0), "left")
-    return order, starts, longer
+    return order, np.searchsorted(-lengths[order], -np.arange(lengths.max() if len(lengths) else 0), "left").tolist()
 
 
-def log_likelihood(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 probabilities of whole sequences by the scaled forward recursion, all sequences a step at a time."""
-    order, starts, longer = _lengths(lengths)
-    total, alpha = np.zeros(len(lengths)), np.tile(model.first[:, None], (1, len(lengths)))
-    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+@dataclass
+class Segments:
+    """Texts' symbols cut into segments, in order; every text has a symbol at least."""
+
+    text: np.ndarray
+    nth: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    last: np.ndarray  # of its text
+
+    @classmethod
+    def of(cls, lengths: np.ndarray, span: int) -> "Segments":
+        n = -(-lengths // span)
+        text = np.repeat(np.arange(len(lengths)), n)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(np.cumsum(lengths) - lengths, n) + nth * span
+        return cls(text, nth, start, np.minimum(span, lengths[text] - nth * span), nth == n[text] - 1)
+
+    def blocks(self, which: np.ndarray | None = None) -> list[np.ndarray]:
+        """Segments, or which of them, as many at once as have some tokens."""
+        which = np.arange(len(self.text)) if which is None else which
+        if not len(which):
+            return []
+        return np.split(which, np.flatnonzero(np.diff(np.cumsum(self.length[which]) // _AT_ONCE)) + 1)
+
+
+def _products(model: Model, symbols: np.ndarray, cut: Segments, which: np.ndarray, kind: type) -> np.ndarray:
+    """(segment, state before it, state at its end): what a segment's tokens make of a message, up to a factor each.
+
+    Before a text's first segment stands no step, so there the state before is that of its first token.
+    """
+    k = len(model.first)
+    order, longer = _lengths(cut.length[which])
+    which = which[order]
+    emit, move = model.emit.astype(kind), model.move.astype(kind)
+    out = np.tile(np.eye(k, dtype=kind), (len(which), 1, 1))
+    fresh = cut.nth[which] == 0
     for t, m in enumerate(longer):
-        alpha = (alpha[:, :m] if t == 0 else move @ alpha[:, :m]) * emit.take(symbols[starts[:m] + t], axis=1)
-        scale = alpha.sum(axis=0)
-        alpha /= scale
-        total[:m] += np.log10(scale)
-    out = np.empty(len(lengths))
-    out[order] = total
-    return out
+        now = out[:m]
+        stepped = (now.reshape(-1, k) @ move).reshape(m, k, k)
+        if not t:
+            stepped[fresh[:m]] = now[fresh[:m]]
+        stepped *= emit[symbols[cut.start[which[:m]] + t]][:, None, :]
+        if t % 4 == 3 or t == len(longer) - 1:
+            stepped /= stepped.sum(axis=(1, 2))[:, None, None]
+        out[:m] = stepped
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _messages(model: Model, symbols: np.ndarray, cut: Segments, kind: type, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment, the state's chances before it (a text's first: those of its first state) and what follows it says of its end."""
+    k, n = len(model.first), len(cut.text)
+    before, after = np.tile(model.first.astype(kind)[:, None], (1, n)), np.ones((k, n), kind)
+    several = np.flatnonzero(~cut.last | (cut.nth > 0))
+    if len(several):
+        made = np.concatenate([_products(model, symbols, cut, own, kind) for own in cut.blocks(several)])
+        place = np.full(n, -1)
+        place[several] = np.arange(len(several))
+        by_nth = [np.flatnonzero(cut.nth == i) for i in range(1, int(cut.nth.max()) + 1)] if n < 1 << 12 else np.split(o := np.argsort(cut.nth, kind="stable"), np.searchsorted(cut.nth[o], np.arange(1, int(cut.nth.max()) + 1)))[1:]
+        for own in by_nth:
+            x = np.einsum("ks,skj->js", before[:, own - 1], made[place[own - 1]])
+            before[:, own] = x / x.sum(axis=0)
+        for own in reversed(by_nth) if backward else ():
+            x = np.einsum("skj,js->ks", made[place[own]], after[:, own])
+            after[:, own - 1] = x / x.sum(axis=0)
+    return before, after
+
+
+def log_likelihood(model: Model, symbols: np.ndarray, lengths: np.ndarray, span: int | None = None) -> np.ndarray:
+    """log10 probabilities of whole sequences by the scaled forward recursion, in double precision."""
+    cut = Segments.of(lengths, span or SPAN)
+    before, _ = _messages(model, symbols, cut, np.float64, False)
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    total = np.zeros(len(cut.text))
+    for own in cut.blocks():
+        order, longer = _lengths(cut.length[own])
+        own = own[order]
+        alpha = np.where(cut.nth[own] == 0, before[:, own], move @ before[:, own])
+        for t, m in enumerate(longer):
+            alpha = (move @ alpha[:, :m] if t else alpha) * emit.take(symbols[cut.start[own[:m]] + t], axis=1)
+            scale = alpha.sum(axis=0)
+            alpha /= scale
+            total[own[:m]] += np.log10(scale)
+    return np.bincount(cut.text, total, len(lengths))
 
 
 def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray, span: int | None = None, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts (first, move, emit) of whole sequences, and the log10 probability of them all."""
-    span = span or SPAN
-    order, starts, longer = _lengths(lengths)
-    k, steps = len(model.first), len(longer)
+    k = len(model.first)
+    cut = Segments.of(lengths, span or SPAN)
+    before, after = _messages(model, symbols, cut, kind, True)
     emit, move = np.ascontiguousarray(model.emit.T, kind), np.ascontiguousarray(model.move, kind)
     forward = np.ascontiguousarray(move.T)
-
-    def block(t0: int, t1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each step's tokens start, the symbols in the order of steps, what they weigh in each state."""
-        ends = np.concatenate([[0], np.cumsum(longer[t0:t1])])
-        which = np.repeat(np.arange(t1 - t0), longer[t0:t1])
-        s = symbols[starts[np.arange(ends[-1]) - ends[:-1][which]] + which + t0]
-        return ends, s, emit.take(s, axis=1)
-
-    def ahead_of(before: np.ndarray | None, t0: int, t1: int, ends: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-        """Forward messages of a block's steps; weight is divided by each step's scale."""
-        out, total = np.empty_like(weight), 0.0
-        for t in range(t0, t1):
-            a, b = ends[t - t0], ends[t - t0 + 1]
-            x = out[:, a:b]
-            np.multiply(np.broadcast_to(model.first.astype(kind)[:, None], x.shape) if before is None else forward @ before[:, : b - a], weight[:, a:b], out=x)
+    first, moved, counts, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit))), 0.0
+    for own in cut.blocks():
+        order, longer = _lengths(cut.length[own])
+        own = own[order]
+        fresh, n = cut.nth[own] == 0, np.concatenate([[0], np.cumsum(longer)])
+        which = np.repeat(np.arange(len(longer)), longer)
+        s = symbols[cut.start[own[np.arange(n[-1]) - n[:-1][which]]] + which]
+        weight = emit.take(s, axis=1)
+        gamma = np.empty_like(weight)
+        x = np.where(fresh, before[:, own], forward @ before[:, own])
+        for t, m in enumerate(longer):
+            a, b = n[t], n[t + 1]
+            np.multiply(forward @ x[:, :m] if t else x, weight[:, a:b], out=gamma[:, a:b])
+            x = gamma[:, a:b]
             scale = x.sum(axis=0)
             total += float(np.log10(scale, dtype=np.float64).sum())
             scale = 1 / scale
             x *= scale
             weight[:, a:b] *= scale
-            before = x
-        return out, total
-
-    edges = [*range(0, steps, span), steps]
-    kept: list[np.ndarray | None] = [None]
-    for t0, t1 in zip(edges[:-2], edges[1:-1]):
-        ends, _, weight = block(t0, t1)
-        kept.append(ahead_of(kept[-1], t0, t1, ends, weight)[0][:, ends[-2] :].copy())
-    first, moved, counts, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit))), 0.0
-    ahead = None
-    for n in range(len(edges) - 2, -1, -1):
-        t0, t1 = edges[n], edges[n + 1]
-        ends, s, weight = block(t0, t1)
-        gamma, more = ahead_of(kept.pop(), t0, t1, ends, weight)
-        total += more
-        for t in range(t1 - 1, t0 - 1, -1):
-            a, b = ends[t - t0], ends[t - t0 + 1]
-            x, here = gamma[:, a:b], np.ones((k, b - a), kind)
-            if ahead is not None:
-                m = ahead.shape[1]
+        beta = np.zeros((k, 0), kind)
+        for t in range(len(longer) - 1, -1, -1):
+            a, b = n[t], n[t + 1]
+            x, m = gamma[:, a:b], beta.shape[1]
+            here = np.empty((k, b - a), kind)
+            if m:
+                ahead = beta * weight[:, b : b + m]
                 moved += x[:, :m] @ ahead.T
                 here[:, :m] = move @ ahead
-            ahead = here * weight[:, a:b]
+            # Segments that end here: what follows them, so that chances add up to one.
+            end = after[:, own[m : b - a]]
+            here[:, m:] = end / (end * x[:, m:]).sum(axis=0)
             x *= here
-        if not t0 and steps:
-            first = gamma[:, : ends[1]].sum(axis=1, dtype=np.float64)
+            beta = here
+        later = ~fresh
+        moved += before[:, own[later]] @ (beta * weight[:, : len(own)])[:, later].T
+        first += gamma[:, : len(own)][:, fresh].sum(axis=1, dtype=np.float64)
         for q in range(k):
             counts[q] += np.bincount(s, gamma[q], counts.shape[1])
     return first, moved * model.move, counts.T, total
@@ -252,20 +316,18 @@ def tabulate(counts: DataFrame, texts: int, table_words: int = TABLE_WORDS, symb
 
 
 def _held(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[list[np.ndarray]]:
-    """Texts' symbols, some hundred thousand tokens at once, short texts and long ones apart."""
-    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    n = [0, 0]
+    """Texts' symbols, some hundred thousand tokens at once."""
+    held, n = [], 0
     for batch in slices(batches, 1 << 22, "symbols"):
         for b in column(batch, "symbols"):
             x = np.frombuffer(b.as_buffer(), kind)
-            which = int(len(x) > LONG)
-            if held[which] and n[which] + len(x) > _HELD_TOKENS[which]:
-                yield held[which][:]
-                held[which].clear()
-                n[which] = 0
-            held[which].append(x)
-            n[which] += len(x)
-    yield from (h for h in held if h)
+            if held and n + len(x) > _HELD_TOKENS:
+                yield held
+                held, n = [], 0
+            held.append(x)
+            n += len(x)
+    if held:
+        yield held
 
 
 def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, gain: float = GAIN, **sizes: int) -> tuple[Table, Model, list[float]]:

@@ -56,9 +56,10 @@ def paths(model, seq, first):
         yield states, p
 
 
-def test_forward_is_the_sum_over_paths():
+@pytest.mark.parametrize("span", [1, 2, 3, 100])
+def test_forward_is_the_sum_over_paths(span):
     model, seqs = toy(), [[0, 3, 1, 4], [2], [4, 4], [1, 0, 2, 3, 3]]
-    got = hmm.log_likelihood(model, np.concatenate(seqs), np.array(list(map(len, seqs))))
+    got = hmm.log_likelihood(model, np.concatenate(seqs), np.array(list(map(len, seqs))), span)
     assert got == pytest.approx([math.log10(sum(p for _, p in paths(model, s, model.first))) for s in seqs])
 
 
@@ -144,6 +145,7 @@ def trained(table, seqs, rounds):
 def test_rounds_read_whole_training_texts(spark, monkeypatch):
     """The model is that of noise and rounds over all whole texts, also beyond any span of a long text."""
     monkeypatch.setattr(hmm, "SPAN", 64)
+    monkeypatch.setattr(hmm, "_AT_ONCE", 500)
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abcdef"), n)) for n in (5, 300, 40)] + [" ".join(["a b"] * 900 + ["y z"] * 900), ""]
     training = spark.createDataFrame([(t.encode(), i) for i, t in enumerate(texts)], "body binary, order long").repartition(3)
