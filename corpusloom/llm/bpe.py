@@ -207,7 +207,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     path is read on the driver, and its content broadcast. The whole text is encoded without adding special tokens;
     the strings of special tokens in a text become these tokens. A null text counts as empty and has no tokens. Rows
-    don't influence each other: null ids, repeats and other columns of docs pass or don't matter.
+    don't influence each other: rows without id and repeated rows are encoded like any other, a text of any length as a
+    whole. Other columns of docs, whatever their names, are never read. An empty table gives an empty result.
     """
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -93,7 +93,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     Words are runs of digits, letters a-z after lower-casing A-Z, and characters beyond ASCII. A null text has none.
     n_base counts all places of base phrases; first_word and last_word are their smallest and largest start, null if
     there are none. labels are those of base phrases and of surviving detections. Without any, score is 0 and the
-    labels are empty strings. A repeated row is a row of its own; other columns of docs don't matter.
+    labels are empty strings. A repeated row is a row of its own, with or without an id; a text of any length is
+    searched whole; other columns of docs, whatever their names, are never read. An empty table gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(_WORD)).cast("long"))
