@@ -113,3 +113,9 @@ def test_recursion_finds_all(split):
     c = g @ g.T
     want = [(i, j) for i in range(200) for j in range(i + 1, 200) if c[i, j] >= 0.98 and (not split or i < split <= j)]
     assert got == want
+
+
+def test_a_third_of_all_rows_is_one_vector(spark):
+    rows = cloud(7, 200, middle=30)
+    rows += [(1000 + i, rows[0][1], rows[0][2], 0, 0, 0) for i in range(100)]
+    assert check(spark.createDataFrame(rows, SCHEMA).repartition(6), block=32) >= 100 * 99

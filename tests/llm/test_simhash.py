@@ -93,3 +93,14 @@ def test_near_dedup_judges_texts_of_a_repeated_id(spark):
     assert kept([(1, a), (5, a), (5, b), (6, c)]) == sorted([(1, a), (5, b), (6, c)])
     assert kept([(5, a), (5, a), (5, a), (6, None), (None, None)]) == [(5, a), (6, None)]
     assert kept([(None, a), (None, a), (None, b)]) == sorted([(None, a), (None, b)], key=str)
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(str(rng.randrange(999)) for _ in range(30))
+    hot = text()
+    rows = [(i, hot if i % 3 == 0 else text()) for i in range(300)] + [(-5, hot), (-5, hot)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    check(docs)
+    kept = sorted(map(tuple, simhash.near_dedup(docs).collect()))
+    assert kept == sorted([(-5, hot)] + [r for r in rows if r[1] != hot])
