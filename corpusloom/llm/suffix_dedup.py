@@ -410,6 +410,20 @@ def _matched(data: list[bytes], older: np.ndarray, younger: np.ndarray, old_bloc
         yield k, long[s : s + max(0, n - LENGTH + 1)]
 
 
+def _meeting(data: list[bytes], group: np.ndarray) -> np.ndarray:
+    """Contexts with a window whose hash another one of their group has, too; others need no index to know that they share none."""
+    lengths = np.fromiter(map(len, data), np.int64, len(data))
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    out = np.zeros(len(data), bool)
+    if len(raw) >= LENGTH:
+        at, which = _spread(np.cumsum(lengths) - lengths, np.maximum(lengths - LENGTH + 1, 0))
+        h = mixed(strings(raw, LENGTH)[at] + group[which].astype(np.uint64) * np.uint64(_STEP))
+        order = np.argsort(h)
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        out[which[order[same]]] = out[which[order[same + 1]]] = True
+    return out
+
+
 def older_matches(data: list[bytes], group: np.ndarray, number: np.ndarray, copies: np.ndarray) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
     """Windows of contexts that an older context of their group holds.
 
@@ -420,11 +434,12 @@ def older_matches(data: list[bytes], group: np.ndarray, number: np.ndarray, copi
     several = np.flatnonzero(copies > 1)
     older, younger, blocks = [several], [several], [(group[several], group[several])]
     bit, many = 0, int(group.max()) + 1 if len(group) else 1
+    meets = _meeting(data, group) if len(number) and number.max() > 0 else number > 0
     while len(number) and (int(number.max()) >> bit) > 0:
         # A block has the contexts of a group that agree in the bits above; it is told from those of other levels.
         _, block = np.unique(group * (int(number.max() >> (bit + 1)) + 1) + (number >> (bit + 1)), return_inverse=True)
-        young = number >> bit & 1 == 1
-        old = np.flatnonzero(~young & np.isin(block, block[young]))
+        young = (number >> bit & 1 == 1) & meets
+        old = np.flatnonzero((number >> bit & 1 == 0) & meets & np.isin(block, block[young]))
         young = np.flatnonzero(young)
         older.append(old)
         younger.append(young)
