@@ -109,6 +109,10 @@ class Table:
             self.log_all = float(np.log10(self.all_tokens + 0.5 * (self.all_words + 1)))
         return self
 
+    def kind(self) -> np.dtype:
+        """What holds a symbol."""
+        return np.dtype("<u2" if self.end + 1 <= 1 << 16 else "<u4")
+
     def places(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
@@ -332,13 +336,10 @@ def _held(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[list[np
 
 def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, gain: float = GAIN, **sizes: int) -> tuple[Table, Model, list[float]]:
     """Table and model of training (body), and the mean log10 probability of a symbol before each round over all texts."""
-    spark = training.sparkSession
     table = tabulate(counts, training.count(), **sizes)
-    known = spark.sparkContext.broadcast(replace(table))
+    known = training.sparkSession.sparkContext.broadcast(replace(table))
     table.ready()
-    model = start(table)
-    k, size, prior = STATES, table.end + 1, _prior(table)
-    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+    kind = table.kind()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value.ready()
@@ -346,10 +347,16 @@ def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, gain: fl
             found = [words.symbols(words.places(tokens(b.as_py()))).astype(kind).tobytes() for b in column(batch, "body")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["symbols"])
 
-    coded = settled(training.select("body").mapInArrow(code, "symbols binary"))
+    return table, *fit(settled(training.select("body").mapInArrow(code, "symbols binary")), table, rounds, gain)
+
+
+def fit(coded: DataFrame, table: Table, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Model, list[float]]:
+    """The model of coded (symbols), settled, and the mean log10 probability of a symbol before each round."""
+    model = start(table)
+    k, size, prior, kind = STATES, table.end + 1, _prior(table), table.kind()
     means: list[float] = []
     for _ in range(rounds if table.texts else 0):
-        sent = spark.sparkContext.broadcast(model)
+        sent = coded.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = sent.value  # noqa: B023
@@ -369,7 +376,7 @@ def learn(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, gain: fl
         means.append(float(cut[3][0]) / table.all_tokens)
         if len(means) > 1 and means[-1] - means[-2] < gain:
             break
-    return table, model, means
+    return model, means
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, gain: float = GAIN, **sizes: int) -> DataFrame:
@@ -385,50 +392,60 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     rows = rows.withColumn("held_out", held_out("doc_id"))
     training = rows.filter(~F.col("held_out")).select("body")
     counts = settled(word_counts(training))
-    table, model, _ = learn(training, counts, rounds, gain, **sizes)
+    table = tabulate(counts, training.count(), **sizes)
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((replace(table), model))
+    known = spark.sparkContext.broadcast(replace(table))
+    table.ready()
+    kind = table.kind()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, now = known.value
-        words.ready()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are cut into words once: symbols, what the table knows of the score, and words that it doesn't have."""
+        words = known.value.ready()
         end = float(np.log10((words.texts + 0.5)))
-        for batch in slices(batches, 6 << 20):
-            symbols, base, share, seen, size, rare = [], [], [], [], [], ([], [], [])
-            for i, body in enumerate(column(batch, "body")):
+        for batch in slices(batches):
+            symbols, base, share, seen, size, rare, times, ends = [], [], [], [], [], [], [], [0]
+            for body in column(batch, "body"):
                 text = tokens(body.as_py())
                 at = words.places(text)
                 s = words.symbols(at)
-                symbols.append(s)
+                symbols.append(s.astype(kind).tobytes())
                 size.append(len(s))
                 inside = at[at >= 0]
-                own = float(words.log_count[inside].sum())
-                base.append(own + end - len(s) * words.log_all)
+                base.append(float(words.log_count[inside].sum()) + end - len(s) * words.log_all)
                 classed = s[(s >= words.own) & (s < words.end)] - words.own
                 share.append(float(words.log_count[inside[inside >= words.own]].sum()) - float(words.log_share[classed].sum()))
                 seen.append(len(inside) + (words.texts > 0))
                 odd = Counter(text[j] for j in np.flatnonzero(at < 0).tolist())
-                rare[0].extend([i] * len(odd))
-                rare[1].extend(odd.keys())
-                rare[2].extend(odd.values())
-            lengths = np.array(size, np.int64)
-            whole = log_likelihood(now, np.concatenate(symbols), lengths) + np.array(share)
+                rare.extend(odd.keys())
+                times.extend(odd.values())
+                ends.append(len(rare))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(rare, pa.binary()), pa.array(times, pa.int64()))]
+            cols = [pa.array(symbols, pa.binary()), pa.array(size, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(share), *lists]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), *cols], ["doc_id", "held_out", "symbols", "n_tokens", "n_known", "base", "share", "rare", "times"])
+
+    coded = rows.select("doc_id", "held_out", "body").mapInArrow(read, "doc_id long, held_out boolean, symbols binary, n_tokens long, n_known long, base double, share double, rare array<binary>, times array<long>")
+    coded = settled(coded.withColumn("uid", F.monotonically_increasing_id()))
+    model, _ = fit(settled(coded.filter(~F.col("held_out")).select("symbols")), table, rounds, gain)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = sent.value
+        for batch in slices(batches, 1 << 21, "symbols"):
+            symbols = np.frombuffer(b"".join(column(batch, "symbols").to_pylist()), kind)
+            whole = log_likelihood(now, symbols, np.asarray(column(batch, "n_tokens"))) + np.asarray(column(batch, "share"))
             own_id = np.asarray(column(batch, "uid"))
-            n, r = len(size), len(rare[0])
             # A text's own row has a key that no word can be, so that these rows spread like words.
-            key = [b"\n%d" % u for u in own_id.tolist()]
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own_id), column(batch, "doc_id"), column(batch, "held_out"), pa.array(key, pa.binary()), none, pa.array(lengths), pa.array(seen, pa.int64()), pa.array(base), pa.array(whole)], _SCORED,
-            )
+            key = pa.array([b"\n%d" % u for u in own_id.tolist()], pa.binary())
+            own = [column(batch, c) for c in ("uid", "doc_id", "held_out", "n_tokens", "n_known", "base")]
+            yield pa.RecordBatch.from_arrays([*own[:3], key, pa.nulls(batch.num_rows, pa.int64()), *own[3:], pa.array(whole)], _SCORED)
+            rare = column(batch, "rare")
+            r = len(rare.flatten())
             if r:
                 blank = lambda t: pa.nulls(r, t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own_id[np.array(rare[0])]), blank(pa.int64()), blank(pa.bool_()), pa.array(rare[1], pa.binary()), pa.array(rare[2], pa.int64()), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), blank(pa.float64())], _SCORED,
-                )
+                of = pa.array(np.repeat(own_id, np.asarray(rare.value_lengths())))
+                yield pa.RecordBatch.from_arrays([of, blank(pa.int64()), blank(pa.bool_()), rare.flatten(), column(batch, "times").flatten(), *map(blank, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], _SCORED)
 
-    parts = rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "held_out", "body")
-    parts = parts.mapInArrow(run, "uid long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double")
+    parts = coded.mapInArrow(run, "uid long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double")
     met = parts.join(counts.withColumnRenamed("word", "of"), F.col("word") == F.col("of"), "left")
     worth = F.coalesce(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)), F.lit(0.0))
     return met.groupBy("uid").agg(
