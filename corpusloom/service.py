@@ -26,6 +26,7 @@ from corpusloom.functions import text
 from corpusloom.models import Embedder, Generator, Reranker, Router, embedded
 from corpusloom.operators import catalog, chat, vector
 from corpusloom.sources import docx
+from corpusloom.sources.shared import settled
 
 IMAGES = StructType([*schema.DOCUMENT_IMAGE.fields]).add("content", BinaryType())
 FILE = StructType().add("document_id", "string").add("content", BinaryType())
@@ -134,25 +135,22 @@ class Library:
     def upload(self, path: str) -> Uploaded:
         """Ingests all Word files at path; a name that is there already, or comes twice, stops it before anything is written."""
         base = self._version()
-        files = docx.files(self.spark, path)
-        every = docx.parsed(files).withColumn("id", F.md5("document_name")).persist()
-        try:
-            parsed = every.filter("error is null")
-            taken = catalog.known(parsed.select("id"), self.table("documents", base), "id")
-            twice = parsed.groupBy("id").count().filter("count > 1").select("id")
-            if not taken.unionByName(twice).isEmpty():
-                raise catalog.Conflict("a document of that name exists")
-            cut = parsed.select(F.col("id").alias("document_id"), F.posexplode(text.chunks(F.col("text"))).alias("chunk_index", "text"))
-            chunks = cut.withColumn("id", text.chunk_id(F.col("document_id"), F.col("chunk_index")))
-            points = chunks.select(F.xxhash64("id").alias("id"), embedded(self.embedder, F.col("text")).alias("vector"), "document_id", F.col("id").alias("chunk_id"))
-            images = parsed.select(F.col("id").alias("document_id"), F.explode("images").alias("i")).select(F.xxhash64("i.filename").alias("id"), "document_id", "i.filename", "i.content")
-            bytes_ = files.join(parsed.select("document_name", "id"), "document_name").select(F.col("id").alias("document_id"), "content")
-            self._change(base, added={"documents": parsed, "files": bytes_, "images": images, "chunks": chunks, "vectors": points})
-            errors = self.spark.createDataFrame(every.filter("error is not null").select("document_name", "error").collect(), "document_name string, error string")
-            new = {name: self.spark.read.parquet(f"{self.root}/{own[-1]}").count() for name, own in self._folders(base + 1).items() if name in ("documents", "images", "chunks", "vectors")}
-            return Uploaded(**new, errors=errors)
-        finally:
-            every.unpersist()
+        # Files are read and parsed once; what is made of them is settled, so that no table reads them again.
+        every = settled(docx.parsed(docx.files(self.spark, path), content=True).withColumn("id", F.md5("document_name")))
+        parsed = every.filter("error is null")
+        taken = catalog.known(parsed.select("id"), self.table("documents", base), "id")
+        twice = parsed.groupBy("id").count().filter("count > 1").select("id")
+        if not taken.unionByName(twice).isEmpty():
+            raise catalog.Conflict("a document of that name exists")
+        cut = parsed.select(F.col("id").alias("document_id"), F.posexplode(text.chunks(F.col("text"))).alias("chunk_index", "text"))
+        chunks = cut.withColumn("id", text.chunk_id(F.col("document_id"), F.col("chunk_index")))
+        points = chunks.select(F.xxhash64("id").alias("id"), embedded(self.embedder, F.col("text")).alias("vector"), "document_id", F.col("id").alias("chunk_id"))
+        images = parsed.select(F.col("id").alias("document_id"), F.explode("images").alias("i")).select(F.xxhash64("i.filename").alias("id"), "document_id", "i.filename", "i.content")
+        bytes_ = parsed.select(F.col("id").alias("document_id"), "content")
+        self._change(base, added={"documents": parsed, "files": bytes_, "images": images, "chunks": chunks, "vectors": points})
+        errors = self.spark.createDataFrame(every.filter("error is not null").select("document_name", "error").collect(), "document_name string, error string")
+        new = {name: self.spark.read.parquet(f"{self.root}/{own[-1]}").count() for name, own in self._folders(base + 1).items() if name in ("documents", "images", "chunks", "vectors")}
+        return Uploaded(**new, errors=errors)
 
     def document(self, document_id: str) -> DataFrame:
         """The document's row; an error if there is none."""
@@ -177,7 +175,8 @@ class Library:
         base = self._version()
         catalog.required(self.table("documents", base), "id", document_id)
         keys = {"documents": "id", "files": "document_id", "images": "document_id", "chunks": "document_id", "vectors": "document_id"}
-        gone = self.spark.createDataFrame([(document_id,)], "id string")
+        # One row that the planner knows to be one: it is broadcast, and no table is shuffled.
+        gone = self.spark.range(1).select(F.lit(document_id).alias("id"))
         self._change(base, catalog.without({name: (self.table(name, base), key) for name, key in keys.items()}, gone))
 
     # Conversations
@@ -197,7 +196,7 @@ class Library:
     def delete_conversation(self, conversation_id: int) -> None:
         base = self._version()
         catalog.required(self.table("conversations", base), "id", conversation_id)
-        gone = self.spark.createDataFrame([(conversation_id,)], "id long")
+        gone = self.spark.range(1).select(F.lit(conversation_id).cast("long").alias("id"))
         keys = {"conversations": "id", "messages": "conversation_id"}
         self._change(base, catalog.without({name: (self.table(name, base), key) for name, key in keys.items()}, gone))
 

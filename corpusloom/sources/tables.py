@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from corpusloom import schema
 from corpusloom.functions import text
 from corpusloom.operators.bm25 import Index
+from corpusloom.sources import loose
 from corpusloom.sources.shared import settled
 
 
@@ -36,9 +37,9 @@ def read_conversation_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(document_name, text) of all files below path whose names end in md."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*md").text(path, wholetext=True)
-    return files.select(text.basename(F.input_file_name()).alias("document_name"), F.col("value").alias("text"))
+    """(document_name, text) of all files below path whose names end in md; one without a byte has no row."""
+    files = loose.read(spark, path, "*md").filter(F.octet_length("content") > 0)
+    return files.select(text.basename(F.col("path")).alias("document_name"), F.col("content").cast("string").alias("text"))
 
 
 def write_markdown(parsed: DataFrame, path: str) -> None:
@@ -96,12 +97,15 @@ def write_files(files: DataFrame, folder: str, path_col: str = "path", content_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), []
             for name, content in zip(names, batch.column(1)):
                 target, raw = f"{root}/{name}", content.as_py() or b""
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if (own := target.rsplit("/", 1)[0]) not in made:
+                    store.create_dir(own, recursive=True)
+                    made.add(own)
                 part = f"{target}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(raw)
