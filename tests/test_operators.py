@@ -66,6 +66,58 @@ def test_knn_forms_agree(spark):
     assert [r.vec_id for r in many.filter("query_id = 9").orderBy("rank").collect()] == want
 
 
+@pytest.mark.parametrize("share", [False, True])
+def test_knn_batch_is_brute_force_over_many_blocks(spark, monkeypatch, share):
+    """Ties, copies, a long and a tiny vector, zeros; each task sends k rows of a query at most."""
+    monkeypatch.setattr(vector, "ROW_BLOCK", 32)
+    monkeypatch.setattr(vector, "SPREAD_BYTES", 0)
+    if share:
+        monkeypatch.setattr(vector, "BROADCAST_BYTES", -1)
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(700, 8))
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    b[100:300], b[300:340], b[350], b[351] = b[7], np.round(b[300:340], 1), b[9] * 1e18, b[9] * 1e-40
+    a = np.concatenate([b[:40], rng.normal(size=(5, 8)), np.zeros((1, 8))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "query_id long, vector array<double>")
+    got = vector.knn_batch(asked, table, 6, block=7)
+    score = np.round(a @ b.T, 6)
+    want = [(q, n, int(i)) for q in range(len(a)) for n, i in enumerate(np.lexsort((np.arange(700), -score[q]))[:6], 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == want
+    best = vector._Best(np.arange(len(a)), 6)
+    for at in range(0, 700, 32):
+        best.add(a, np.arange(at, min(at + 32, 700)), b[at : at + 32])
+    sent = best.rows(["q", "i", "s"])
+    assert sent.num_rows == 6 * len(a) and sorted(zip(sent[0].to_pylist(), sent[1].to_pylist())) == sorted((q, i) for q, _, i in want)
+    odd = vector._Best(np.arange(2), 3)
+    odd.add(np.array([[1.0], [np.nan]]), np.array([4, 5]), np.array([[2.0], [np.inf]]))
+    assert odd.rows(["q", "i", "s"]).column(1).to_pylist() == [5, 4, 4, 5]
+
+
+def test_retrieve_prepares_each_text_once(spark, monkeypatch):
+    """Forty questions meet the same twenty chunks; a chunk's copies for its questions come to five."""
+    monkeypatch.setattr(retrieve, "HOT", 8)
+    made = spark.sparkContext.accumulator(0)
+
+    class Counting(OverlapReranker):
+        def prepared(self, text):
+            @F.udf("array<string>")
+            def run(x):
+                made.add(1)
+                return sorted(set((x or "").split()))
+
+            return run(text)
+
+    asked = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x", [1.0, 0.1 * i]) for i in range(40)], "query_id long, question string, vector array<double>")
+    rows = spark.createDataFrame([(i, [1.0, float(i % 5)]) for i in range(20)], "vec_id long, embedding array<double>")
+    chunks = spark.createDataFrame([(i, f"w{i} w{i % 4} y" if i else None) for i in range(20)], "doc_id long, text string")
+    got = retrieve.retrieve(asked, rows, chunks, Counting()).select("query_id", "rank", "doc_id", "vector_rank", "rerank_score", "question", "text").persist()
+    # A question is prepared where it is, and may be again where a plan repeats its scan.
+    assert got.count() == 200 and made.value <= 20 + 2 * 40
+    pairs = vector.knn_batch(asked, rows, 20).withColumnRenamed("vec_id", "doc_id").join(chunks, "doc_id").join(asked.select("query_id", "question"), "query_id")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, retrieve.rerank(pairs, OverlapReranker()).select(got.columns).collect()), key=lambda r: r[:2])
+
+
 def test_rerank_is_stable_and_empty(spark):
     rows = [(1, r, "a b", t) for r, t in enumerate(["b", "a", "a b", "c"], 1)]
     c = spark.createDataFrame(rows, "query_id long, rank long, question string, text string")
