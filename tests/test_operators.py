@@ -110,7 +110,7 @@ def test_retrieve_prepares_each_text_once(spark, monkeypatch):
 
     asked = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x", [1.0, 0.1 * i]) for i in range(40)], "query_id long, question string, vector array<double>")
     rows = spark.createDataFrame([(i, [1.0, float(i % 5)]) for i in range(20)], "vec_id long, embedding array<double>")
-    chunks = spark.createDataFrame([(i, f"w{i} w{i % 4} y" if i else None) for i in range(20)], "doc_id long, text string")
+    chunks = spark.createDataFrame([(i, f"w{i} w{i % 4} y" if i else None) for i in range(20)], "doc_id long, text string").coalesce(1)
     got = retrieve.retrieve(asked, rows, chunks, Counting()).select("query_id", "rank", "doc_id", "vector_rank", "rerank_score", "question", "text").persist()
     # A question is prepared where it is, and may be again where a plan repeats its scan.
     assert got.count() == 200 and made.value <= 20 + 2 * 40
@@ -118,6 +118,23 @@ def test_retrieve_prepares_each_text_once(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, retrieve.rerank(pairs, OverlapReranker()).select(got.columns).collect()), key=lambda r: r[:2])
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_retrieve_counts_each_row_of_a_chunk_and_sends_texts_of_the_best_only(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", few)
+    asked = spark.createDataFrame([(i, "x y", [1.0, 0.0]) for i in range(400)], "query_id long, question string, vector array<double>")
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "vec_id long, embedding array<double>")
+    rng = np.random.default_rng(1)
+    chunks = spark.createDataFrame([(i, "x y " * (i % 3) + rng.bytes(3000).hex()) for i in [*range(20), 19]] + [(2, "x y"), (2, "x y")], "doc_id long, text string")
+
+    def work():
+        found = retrieve.retrieve(asked, rows, chunks, OverlapReranker()).select("query_id", "rank", "doc_id", "rerank_score", "text", "question").collect()
+        # The two rows that are the same come first, then those with the next score by the ranks of their vectors.
+        assert [(r.rank, r.doc_id, r.text == "x y") for r in sorted(found) if r.query_id == 7] == [(1, 2, True), (2, 2, True), (3, 1, False), (4, 2, False), (5, 4, False)]
+        assert len(found) == 2000 and {r.question for r in found} == {"x y"}
+
+    assert _sent(spark, work) < 15_000_000
+
+
 def test_rerank_is_stable_and_empty(spark):
     rows = [(1, r, "a b", t) for r, t in enumerate(["b", "a", "a b", "c"], 1)]
     c = spark.createDataFrame(rows, "query_id long, rank long, question string, text string")
