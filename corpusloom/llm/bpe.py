@@ -106,12 +106,13 @@ def merge_all(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int
 
 def disputed(nfc: Callable[[str], str]) -> set[str]:
     """Assigned characters whose order or composition nfc doesn't know: it changes them unlike Python's tables do."""
-    every = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
-    marks = {c for c in every if unicodedata.combining(c)}
+    # One at a time: a list of all characters takes some 100 MB of a worker.
+    every = lambda: (chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    marks = {c for c in every() if unicodedata.combining(c)}
     # Between a mark of the highest class and one of a low class, a mark that is known moves.
     out = {c for c in marks if nfc(s := f"q\u0345{c}\u0334") != unicodedata.normalize("NFC", s)}
     out |= {c for c in marks if nfc(s := f"q\u0345{c}\u0316") != unicodedata.normalize("NFC", s)}
-    for c in every:
+    for c in every():
         rule = unicodedata.decomposition(c)
         if rule and rule[0] != "<":
             parts = unicodedata.normalize("NFD", c)
@@ -222,6 +223,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 decoded.append(vocab.decode(ids[-1]))
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), n, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            del ids, decoded
+            pa.default_memory_pool().release_unused()
 
     rows = bodies(docs, id_col=id_col, text_col=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

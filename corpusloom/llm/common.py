@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +74,10 @@ def chosen(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col: s
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, col: str = "body") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about most_bytes of texts, never fewer than one row."""
     for batch in batches:
-        sizes = batch.column(batch.schema.get_field_index(col)).to_pylist()
+        # Lengths only: the texts themselves would be in memory twice.
+        sizes = pc.binary_length(column(batch, col)).to_pylist()
         at, held = 0, 0
-        for i, body in enumerate(sizes):
-            n = len(body)
+        for i, n in enumerate(sizes):
             if held and held + n > most_bytes:
                 yield batch.slice(at, i - at)
                 at, held = i, 0

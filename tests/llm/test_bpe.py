@@ -1,15 +1,19 @@
 import hashlib
 import random
+import tracemalloc
 import unicodedata
 from array import array
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
 from corpusloom.llm import bpe
+from corpusloom.llm.common import slices
 from tests.llm.texts import awkward, empty
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -77,3 +81,16 @@ def test_rows(spark, pair):
     assert sorted(str((r.doc_id, r.n_tokens, hashlib.sha256(r.ids).hexdigest())) for r in rows) == sorted(str((d, len(i), hashlib.sha256(pack(i)).hexdigest())) for d, i in want)
     assert bpe.decode(got.drop("decoded"), PATH).exceptAll(got).count() == 0
     assert bpe.encode(empty(spark), PATH).collect() == []
+
+
+def test_little_is_held_at_once():
+    """Neither a list of all characters nor a second copy of a batch's texts."""
+    rows = pa.RecordBatch.from_arrays([pa.array([b"x" * 2000] * 5000, pa.binary())], ["body"])
+    tracemalloc.start()
+    try:
+        assert sum(part.num_rows for part in slices(iter([rows]), 1 << 20)) == 5000
+        assert tracemalloc.get_traced_memory()[1] < 2 << 20
+        assert len(bpe.disputed(NFC().normalize_str)) > 0
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
